@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from ._common import cut
 
 #: Projections of the index, the window's width at radius 1, the share of projections that have to collide, the growth of the radius.
-PROJECTIONS, WIDTH, THRESHOLD, GROWTH = 160, 2.2, 0.66, 1.15
+PROJECTIONS, WIDTH, THRESHOLD, GROWTH = 96, 2.2, 0.64, 1.2
+
+#: The first radius, as a share of the rows' spread.
+FIRST = 0.5
 
 #: Rows of a block of the index and queries of a chunk.
 BLOCK_ROWS, CHUNK_QUERIES = 1024, 8192
@@ -40,65 +43,67 @@ def matrices(column: pa.ChunkedArray | pa.Array) -> list[tuple[np.ndarray, np.nd
     return out
 
 
+def _count(ranks: np.ndarray, order: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many projections have each row within each query's window. left, right: projections x queries, in sorted places.
+
+    Narrow windows are walked along the sorted arrays; wide ones, which hold a good share of the block, are tested row by
+    row on the rows' places in those arrays, which then takes less.
+    """
+    (n, m), queries = ranks.shape, left.shape[1]
+    size = right - left
+    if size.sum() * 8 < m * n * queries:
+        counts = np.zeros(queries * n, np.int64)
+        for part in np.array_split(np.arange(m), max(1, int(size.sum() >> 21))):
+            own = size[part].ravel()
+            at = np.repeat(left[part].ravel() - np.cumsum(np.r_[0, own[:-1]]), own) + np.arange(own.sum())
+            row = order[at, np.repeat(np.repeat(part, queries), own)]
+            counts += np.bincount(np.repeat(np.tile(np.arange(queries) * n, len(part)), own) + row, minlength=queries * n)
+        return counts.reshape(queries, n)
+    counts = np.zeros((queries, n), np.int16)
+    low, span = left.astype(np.uint16), size.astype(np.uint16)
+    for j in range(m):
+        counts += ranks[:, j][None] - low[j][:, None] < span[j][:, None]
+    return counts
+
+
 def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest rows that the hashing finds for each query: (places of queries, places of rows, distances).
 
-    Each projection keeps its values sorted. Windows centred on the query grow with the radius (virtual rehashing) and only
-    what a growth adds is counted. A row that has collided in THRESHOLD of the projections is verified by its true distance.
-    A query ends when k rows verified lie within the radius, or when its windows cover the block.
+    Each projection keeps its values sorted. Windows centred on the query grow with the radius (virtual rehashing) until k
+    rows verified lie within the radius, or the windows cover the block. A row that collides in THRESHOLD of the projections
+    is verified by its distance. Blocks have 65,535 rows at most.
     """
     n, m = len(x), PROJECTIONS
     axes = np.random.default_rng(x.shape[1]).standard_normal((x.shape[1], m))
     px, pq = x @ axes, q @ axes
     order = np.argsort(px, axis=0, kind="stable")
     held = np.take_along_axis(px, order, axis=0)
+    ranks = np.empty((n, m), np.uint16, order="F")
+    np.put_along_axis(ranks, order, np.arange(n, dtype=np.uint16)[:, None], axis=0)
     spread = float(np.sqrt(2 * x.var(axis=0).sum()) + 1e-12)
-    radius = 0.3 * spread
-    counts = np.zeros(len(q) * n, np.int16)
-    checked = np.zeros(len(q) * n, bool)
-    checked.reshape(len(q), n)[query_ids[:, None] == ids[None, :]] = True
-    own = checked.reshape(len(q), n).sum(axis=1)
-    left = np.stack([np.searchsorted(held[:, j], pq[:, j]) for j in range(m)])
-    right = left.copy()
-    active = np.arange(len(q))
-    found_q, found_x, found_d = [], [], []
-    within = np.zeros((len(q), 0))
-    best = np.full((len(q), k), np.inf)
-    del within
-    while len(active):
-        for j in range(m):
-            low = np.searchsorted(held[:, j], pq[active, j] - WIDTH / 2 * radius, "left")
-            high = np.searchsorted(held[:, j], pq[active, j] + WIDTH / 2 * radius, "right")
-            low, high = np.minimum(low, left[j, active]), np.maximum(high, right[j, active])
-            for a, b in ((low, left[j, active]), (right[j, active], high)):
-                size = b - a
-                total = int(size.sum())
-                if total:
-                    at = np.repeat(a - np.cumsum(np.r_[0, size[:-1]]), size) + np.arange(total)
-                    counts[np.repeat(active * n, size) + order[at, j]] += 1  # a row is met once a projection
-            left[j, active], right[j, active] = low, high
-        ripe = active[:, None] * n + np.arange(n)
-        ripe = ripe[(counts[ripe] >= THRESHOLD * m) & ~checked[ripe]]
-        checked[ripe] = True
-        for part in np.array_split(ripe, max(1, len(ripe) // 65_536)):
-            qi, xi = part // n, part % n
-            d = np.sqrt(((x[xi] - q[qi]) ** 2).sum(axis=1))
-            found_q.append(qi), found_x.append(xi), found_d.append(d)
-            if len(part):
-                cuts = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
-                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(qi)], strict=True):
-                    best[qi[a]] = np.sort(np.r_[best[qi[a]], d[a:b]])[:k]
-        covered = (left[:, active] == 0).all(axis=0) & (right[:, active] == n).all(axis=0)
-        active = active[~(covered | (best[active, -1] <= radius))]
-        radius *= GROWTH
-    del own
-    if not found_q:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    fq, fx, fd = map(np.concatenate, (found_q, found_x, found_d))
+    out = [], [], []
+    for part in np.array_split(np.arange(len(q)), -(-len(q) // 64)):
+        # squared distances for the ranking; those of the rows returned are taken anew, term by term
+        near = np.maximum(0.0, (q[part] ** 2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * q[part] @ x.T)
+        near[query_ids[part][:, None] == ids[None]] = np.inf
+        verified = np.full(near.shape, np.inf)
+        active, radius = np.arange(len(part)), FIRST * spread
+        while len(active):
+            reach = WIDTH / 2 * radius
+            left = np.stack([np.searchsorted(held[:, j], pq[part[active], j] - reach, "left") for j in range(m)])
+            right = np.stack([np.searchsorted(held[:, j], pq[part[active], j] + reach, "right") for j in range(m)])
+            ripe = _count(ranks, order, left, right) >= THRESHOLD * m
+            verified[active] = np.where(ripe, near[active], verified[active])
+            enough = np.partition(verified[active], k - 1, axis=1)[:, k - 1] <= radius**2 if n >= k else np.zeros(len(active), bool)
+            active = active[~(enough | (right - left == n).all(axis=0))]
+            radius *= GROWTH
+        bound = np.partition(verified, k - 1, axis=1)[:, k - 1 : k] if n >= k else np.full((len(part), 1), np.inf)
+        a, b = np.nonzero((verified <= bound * (1 + 1e-9) + 1e-12) & np.isfinite(verified))
+        out[0].append(part[a]), out[1].append(b), out[2].append(np.sqrt(((x[b] - q[part[a]]) ** 2).sum(axis=1)))
+    fq, fx, fd = (np.concatenate(o) if o else np.zeros(0, int) for o in out)
     rank = np.lexsort((ids[fx], fd, fq))
     fq, fx, fd = fq[rank], fx[rank], fd[rank]
-    place = np.arange(len(fq)) - np.searchsorted(fq, fq, "left")
-    keep = place < k
+    keep = np.arange(len(fq)) - np.searchsorted(fq, fq, "left") < k
     return fq[keep], fx[keep], fd[keep]
 
 
