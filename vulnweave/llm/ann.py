@@ -74,6 +74,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     is verified by its distance. Blocks have 65,535 rows at most.
     """
     n, m = len(x), PROJECTIONS
+    most, k = k, k + len(ids) - len(np.unique(ids))  # an id that repeats must not push others out
     axes = np.random.default_rng(x.shape[1]).standard_normal((x.shape[1], m))
     px, pq = x @ axes, q @ axes
     order = np.argsort(px, axis=0, kind="stable")
@@ -101,9 +102,13 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         a, b = np.nonzero((verified <= bound * (1 + 1e-9) + 1e-12) & np.isfinite(verified))
         out[0].append(part[a]), out[1].append(b), out[2].append(np.sqrt(((x[b] - q[part[a]]) ** 2).sum(axis=1)))
     fq, fx, fd = (np.concatenate(o) if o else np.zeros(0, int) for o in out)
+    if k > most:
+        order = np.lexsort((fd, ids[fx], fq))
+        order = order[np.r_[True, (np.diff(fq[order]) != 0) | (np.diff(ids[fx][order]) != 0)]] if len(order) else order
+        fq, fx, fd = fq[order], fx[order], fd[order]
     rank = np.lexsort((ids[fx], fd, fq))
     fq, fx, fd = fq[rank], fx[rank], fd[rank]
-    keep = np.arange(len(fq)) - np.searchsorted(fq, fq, "left") < k
+    keep = np.arange(len(fq)) - np.searchsorted(fq, fq, "left") < most
     return fq[keep], fx[keep], fd[keep]
 
 
