@@ -25,7 +25,11 @@ def _words(c: Column, stop_words: list[str] | None) -> Column:
 
 
 def _cosine(a: Column, b: Column, unshared: float) -> Column:
-    """Cosine of word counts, where a word of one side alone weighs `unshared` times one of both."""
+    """Cosine of word counts, where a word of one side alone weighs `unshared` times one of both. Words are bound once for the lambdas."""
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: _bound_cosine(s["a"], s["b"], unshared))[0]
+
+
+def _bound_cosine(a: Column, b: Column, unshared: float) -> Column:
     count = lambda words, w: F.size(F.filter(words, lambda x: x == w)).cast("double")
     dot = F.aggregate(F.array_intersect(a, b), F.lit(0.0), lambda s, w: s + count(a, w) * count(b, w))
     square = lambda own, other: F.aggregate(F.array_distinct(own), F.lit(0.0), lambda s, w: s + F.pow(count(own, w) * F.when(F.array_contains(other, w), 1.0).otherwise(unshared), F.lit(2.0)))

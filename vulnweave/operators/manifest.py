@@ -82,7 +82,7 @@ def yarn_lock(body: Column, strict: bool = False) -> Column:
     """Blocks of a key line and a version line. The key's last alias names the package; the last version of a name counts."""
     quote = '"' if strict else '"?'
     pairs = _all(F.concat(F.lit("\n"), body), rf'\n{quote}(?:[^\n]*, "?)?(@?[^\s@",]+)@[^\n]*:[ \t]*\r?\n(?:[ \t]+[^\n]*\n)*?[ \t]+version:?[ \t]+"?([^\s"]+)')
-    return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["name"] == p["name"]))
+    return F.transform(F.array(pairs), lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["name"] == p["name"])))[0]
 
 
 def pnpm_lock(body: Column, strict: bool = False) -> Column:

@@ -74,7 +74,7 @@ def suspected(vulnerabilities: DataFrame) -> DataFrame:
     one = lambda kind, value: lambda n: F.struct(n.alias("raw"), F.lit(kind).alias("kind"), F.lit(value).alias("c") if isinstance(value, float) else value.alias("c"))
     has_id = F.coalesce(F.col("vuln_id"), F.lit("")) != ""
     word = F.when(has_id, F.lit(0.8)).otherwise(F.lit(0.6))
-    spoken = F.filter(_array(COMMON), lambda p: F.array_contains(F.regexp_extract_all(low, F.lit(r"\b(" + "|".join(COMMON) + r")\b"), F.lit(1)), p))
+    spoken = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\b(" + "|".join(COMMON) + r")\b"), F.lit(1)))
     known = F.coalesce(F.try_element_at(_map(KNOWN), F.coalesce("vuln_id", F.lit(""))), _array(()))
     found = F.concat(F.transform(mentions(text, "java_coordinate"), one("hit", 0.8)), F.transform(mentions(text, "npm_scoped"), one("hit", 0.8)), F.transform(known, one("known", 1.0)), F.transform(spoken, one("word", word)))
     long = vulnerabilities.select("vuln_id", F.explode(found).alias("f")).select("vuln_id", "f.*")
@@ -85,7 +85,11 @@ def suspected(vulnerabilities: DataFrame) -> DataFrame:
 
 def similarity(name: Column, version: Column, title: Column, description: Column) -> Column:
     """struct<score, features>: the weighted mean of those features that are present, 1 at most."""
-    name, text, low = F.lower(name), F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))), F.lower(F.coalesce(description, F.lit("")))
+    return similarity_of_lower(F.lower(name), version, F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))), F.lower(F.coalesce(description, F.lit(""))))
+
+
+def similarity_of_lower(name: Column, version: Column, text: Column, low: Column) -> Column:
+    """The same from lower-case texts: title and description, and the description alone, which are better made once a text than once a pair."""
     part = lambda label, score, weight: F.struct(F.lit(label).alias("feature"), score.cast("double").alias("score"), F.lit(weight).alias("weight"))
     parts = F.filter(F.split(name, r"[:\-/_.]"), lambda p: F.length(p) > 2)
     share = lambda words: F.size(F.filter(words, lambda w: text.contains(w))) / F.size(words)
@@ -126,13 +130,13 @@ def match(components: DataFrame, vulnerabilities: DataFrame, *, broadcast_rows:
     down = guess.join(short.select("comp_id", prefix.alias("p")), F.col("name") == F.col("p")).select("vuln_id", "comp_id", "name")
     up = guess.select("vuln_id", "name", F.col("name").alias("key")).select("vuln_id", "name", prefix.alias("p")).join(short, F.col("p") == F.col("key")).select("vuln_id", "comp_id", "name")
     hits = down.union(up).distinct().select("vuln_id", "comp_id", F.lit(0.95).alias("similarity"), F.lit("named_entity_extracted").alias("match_type"), F.lit(None).cast("string").alias("confidence"), F.lit("package name found in the description").alias("reasoning"))
-    texts = vulnerabilities.select("vuln_id", "title", "description")
+    low = F.lower(F.coalesce("description", F.lit("")))
+    texts = vulnerabilities.select("vuln_id", F.concat(F.lower(F.coalesce("title", F.lit(""))), F.lit(" "), low).alias("body"), low.alias("low"))
     words = F.array_distinct(F.concat(F.array(name), F.filter(F.split(name, r"[:\-/_.]"), lambda p: F.length(p) > 2), F.coalesce(F.try_element_at(_map(DOMAIN_WORDS), name), _array(())), F.coalesce(F.try_element_at(_map(ALIASES), name), _array(()))))
     vocabulary = small.select(F.explode(words).alias("word")).distinct()
-    body = F.lower(F.concat_ws(" ", "title", "description"))
-    held = texts.select("vuln_id", body.alias("body")).join(F.broadcast(vocabulary) if few else vocabulary, F.col("body").contains(F.col("word"))).select("vuln_id", "word")
+    held = texts.select("vuln_id", "body").join(F.broadcast(vocabulary) if few else vocabulary, F.col("body").contains(F.col("word"))).select("vuln_id", "word")
     met = held.join(keyed.select("comp_id", F.explode(words).alias("word")), "word").select("vuln_id", "comp_id").distinct().join(keyed, "comp_id").join(texts, "vuln_id")
-    scored = met.withColumn("s", similarity(F.col("name"), F.col("version"), F.col("title"), F.col("description"))).where(F.col("s.score") > 0.5)
+    scored = met.withColumn("s", similarity_of_lower(F.lower("name"), F.col("version"), F.col("body"), F.col("low"))).where(F.col("s.score") > 0.5)
     alike = scored.select("vuln_id", "comp_id", F.col("s.score").alias("similarity"), F.lit("similarity_based").alias("match_type"), F.when(F.col("s.score") > 0.75, "high").otherwise("medium").alias("confidence"), F.col("s.reasoning").alias("reasoning"))
     both = hits.unionByName(alike)
     return both if all_hits else top_k(both, ["vuln_id", "comp_id"], [F.desc("similarity"), F.col("match_type")], 1).drop("rank")

@@ -130,8 +130,9 @@ def recall_at_k(spark, sf_dir):
     words = lambda c: F.array_join(F.slice(F.split(c, r"\s+"), 1, 8), " ")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), words("text").alias("key"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    pieces = F.split("text", r"\s+")
-    keyed = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, i, 8), " ")))).alias("key"))
-    met = items.join(keyed, "key").select("query_id", "passage", "doc_id").distinct().join(docs, "doc_id").where(F.col("text").contains(F.col("passage")))
+    # the words are bound once: an expression within a lambda is evaluated for each element
+    runs = F.transform(F.array(F.split("text", r"\s+")), lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_join(F.slice(w, i, 8), " ")))[0]
+    keyed = docs.select("doc_id", F.explode(runs).alias("key"))
+    met = keyed.join(items, "key").select("query_id", "passage", "doc_id").distinct().join(docs, "doc_id").where(F.col("text").contains(F.col("passage")))
     truth = met.select("query_id", F.lower(F.concat(F.lit("maven:"), "source", F.lit(":"), "lang", F.lit("-"), "doc_id")).alias("item"))
     return evaluate.recall_at(found, truth, [1, 3, 5, 10])
