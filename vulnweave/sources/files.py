@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +55,6 @@ def listing(spark: SparkSession, projects: dict[str, str], skip: tuple[str, ...]
 
 def bodies(spark: SparkSession, chosen: DataFrame, roots: dict[str, str]) -> DataFrame:
     """(project, rel_dir, file, ...) -> with path and body, read where the tasks run; unreadable files have a null body."""
-    import pandas as pd
-
     known = F.create_map(*(F.lit(x) for pair in roots.items() for x in pair))
     path = F.concat_ws("/", known[F.col("project")], F.nullif(F.col("rel_dir"), F.lit("")), F.col("file"))
 
