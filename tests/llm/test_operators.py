@@ -151,6 +151,35 @@ def test_embedding_near_duplicates(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in queries.op10_embedding_neardup(spark, SF).collect()} == expected
 
 
+def embedding_groups(label: int, first: int, members: int, groups: int) -> list:
+    """Tight groups in a chain: vectors of a group are closer to each other than to the next group, which some still link with."""
+    r = np.random.default_rng(label)
+    rows = []
+    for g in range(groups):
+        centre = np.zeros(64)
+        centre[0], centre[1] = np.cos(g * 0.16), np.sin(g * 0.16)
+        rows += [(first + g * members + i, v.tolist(), label) for i, v in enumerate(centre + r.standard_normal((members, 64)) * 0.006)]
+    return rows
+
+
+@pytest.mark.parametrize("rounds", [4, 0])
+def test_embedding_groups_that_link_with_each_other(spark, monkeypatch, rounds):
+    """Lists full of links must not hide links between groups; without any round that the audit accepts, all pairs are compared."""
+    if not rounds:
+        monkeypatch.setattr(neardup_vectors, "AUDIT_RECALL", 2)
+        monkeypatch.setattr(neardup_vectors, "ROUNDS", 1)
+    rows = embedding_groups(1, 0, 40, 5) + embedding_groups(2, 1000, 400, 2)
+    x, labels = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    link = (unit @ unit.T >= 0.98) & (labels[:, None] == labels) & ~np.eye(len(rows), dtype=bool)
+    root = components(len(rows), zip(*np.nonzero(link), strict=True))
+    assert len(set(root)) == 2 and not link.all()
+    expected = {rows[i][0]: (int(link[i].sum()), rows[root[i]][0]) for i in range(len(rows))}
+    out = neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == expected
+    assert {r.vec_id for r in out if r.kept} == {rows[k][0] for k in set(root)}
+
+
 def fingerprint(text: str | None) -> int:
     import xxhash
 

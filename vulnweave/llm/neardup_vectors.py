@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, hot_keys, key_chunks, partitions, runs, salt_many, salt_one
+from ._common import Forest, cut, hot_keys, key_chunks, partitions, runs, salt_many, salt_one
 from ._graph import connected_components
 from .ann import matrices, usable
 
@@ -41,15 +41,15 @@ def _pairs(a: list, b: list, s: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], t) for x, t in ((a, pa.int64()), (b, pa.int64()), (s, pa.float64()))], ["a", "b", "s"])
 
 
-def _best(sim: np.ndarray, ids: np.ndarray, most: int, out: tuple[list, list, list]) -> None:
-    """The `most` best neighbours of each row of a square of similarities; -2 stands for no pair."""
-    top = np.argpartition(-sim, min(most, sim.shape[1]) - 1, axis=1)[:, :most] if sim.shape[1] > most else np.tile(np.arange(sim.shape[1]), (len(sim), 1))
+def _best(sim: np.ndarray, ids: np.ndarray, most: int, least: float, out: tuple[list, list, list]) -> None:
+    """The NEIGHBOURS best neighbours of each row of a square of similarities: `most` of them, and all that link; -2 stands for no pair."""
+    top = np.argsort(-sim, axis=1, kind="stable")[:, :NEIGHBOURS]
     value = np.take_along_axis(sim, top, axis=1)
-    row, col = np.nonzero(value > -2)
+    row, col = np.nonzero((value > -2) & ((value >= least) | (np.arange(top.shape[1]) < most)))
     out[0].append(ids[row]), out[1].append(ids[top[row, col]]), out[2].append(value[row, col])
 
 
-def _start(reps: DataFrame) -> DataFrame:
+def _start(reps: DataFrame, least: float) -> DataFrame:
     """The first neighbour lists: vectors in several orders by signs of random projections, compared within sliding blocks.
 
     Orders are cut by range over (order, label, signs, hash), so equal signs spread over tasks however many share them.
@@ -86,7 +86,7 @@ def _start(reps: DataFrame) -> DataFrame:
             sim = x[own] @ x[own].T
             sim[(group[:, own, None] != group[:, None, own]).any(axis=0)] = -2
             np.fill_diagonal(sim, -2)
-            _best(sim, ids[own], 3, out)
+            _best(sim, ids[own], 3, least, out)
         return _pairs(*out)
 
     return coded.repartitionByRange(partitions(reps), *by).sortWithinPartitions(*by).mapInArrow(compare, "a long, b long, s double")
@@ -98,10 +98,13 @@ def _lists(pairs: DataFrame, size: int) -> DataFrame:
     return spread.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("r") <= size).drop("r")
 
 
-def _refine(lists: DataFrame, reps: DataFrame) -> DataFrame:
-    """One round: neighbours and (the best) reverse neighbours of a vector meet each other there; each list keeps its best."""
+def _refine(lists: DataFrame, reps: DataFrame, link: float) -> DataFrame:
+    """One round: neighbours and (the best) reverse neighbours of a vector meet each other there; each list keeps its best.
+
+    A meeting gives a list its best newcomer and all that link with it: a list loses a link only to NEIGHBOURS better links.
+    """
     back = lists.select(F.col("b").alias("pivot"), F.col("a").alias("rep"), "s").withColumn("r", F.row_number().over(Window.partitionBy("pivot").orderBy(F.desc("s"), "rep"))).where(F.col("r") <= REVERSE)
-    least = lists.groupBy("a").agg(F.min("s").alias("least"))
+    least = lists.groupBy("a").agg(F.min("s").alias("least"), F.count(F.lit(1)).alias("held")).where(F.col("held") >= NEIGHBOURS).drop("held")
     members = lists.select(F.col("a").alias("pivot"), F.col("b").alias("rep")).union(back.select("pivot", "rep")).distinct()
     met = members.join(reps.select("rep", "label", "embedding"), "rep").join(least, F.col("rep") == F.col("a"), "left").select("pivot", "rep", "label", F.coalesce("least", F.lit(-2.0)).alias("least"), "embedding")
 
@@ -118,10 +121,9 @@ def _refine(lists: DataFrame, reps: DataFrame) -> DataFrame:
                 sim = np.einsum("gid,gjd->gij", x[at], x[at])
                 bad = (label[at][:, :, None] != label[at][:, None]) | (dims[at][:, :, None] != dims[at][:, None]) | np.eye(size, dtype=bool)[None] | (sim <= least_of[at][:, :, None])
                 sim[bad] = -2
-                best = sim.argmax(axis=2)
-                value = np.take_along_axis(sim, best[:, :, None], axis=2)[:, :, 0]
-                g, i = np.nonzero(value > -2)
-                out[0].append(ids[at][g, i]), out[1].append(ids[at][g, best[g, i]]), out[2].append(value[g, i])
+                best = np.arange(size) == sim.argmax(axis=2)[:, :, None]
+                g, i, j = np.nonzero((sim > -2) & (best | (sim >= link)))
+                out[0].append(ids[at][g, i]), out[1].append(ids[at][g, j]), out[2].append(sim[g, i, j])
             yield _pairs(*out)
 
     better = met.repartition(partitions(reps), "pivot").sortWithinPartitions("pivot").mapInArrow(join, "a long, b long, s double")
@@ -151,6 +153,38 @@ def _audit(reps: DataFrame, roots: DataFrame, least: float) -> float:
     return seen[1] / seen[0] if seen[0] else 1.0
 
 
+def _full(lists: DataFrame, least: float) -> DataFrame:
+    """rep: the vectors whose list holds NEIGHBOURS links, so that further links may have found no place."""
+    return lists.where(F.col("s") >= least).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= NEIGHBOURS).select("rep")
+
+
+def _across(reps: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """u, v: links between components. All pairs of `reps` with one label are compared, in cells of two parts; tasks return forests of roots."""
+    members = cut(reps.join(roots, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root"), "label", "embedding"))
+    parts = members.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
+    cells = members.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select(F.xxhash64("label", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "part", "other", "root", "label", "embedding")
+
+    def compare(batches):
+        forest = Forest()
+        for rows in key_chunks(batches, "cell", 4_000):
+            x, dims = _stack(rows.column("embedding"))
+            cell, side, other_side, root, label = (rows.column(c).to_numpy() for c in ("cell", "part", "other", "root", "label"))
+            start, end = runs(cell)
+            for a, b in zip(start.tolist(), end.tolist(), strict=True):
+                for at in range(a, b, 512):
+                    own = slice(at, min(b, at + 512))
+                    ok = x[own] @ x[a:b].T >= least
+                    ok &= (root[own, None] != root[None, a:b]) & (label[own, None] == label[None, a:b]) & (dims[own, None] == dims[None, a:b]) & (other_side[own, None] == side[None, a:b])
+                    i, j = np.nonzero(ok)
+                    for u, v in np.unique(np.stack([root[own][i], root[a:b][j]], axis=1), axis=0).tolist():
+                        forest.join(u, v)
+        u, v = forest.edges()
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return cells.repartition(partitions(reps), "cell").sortWithinPartitions("cell").mapInArrow(compare, "u long, v long")
+
+
 def _links(reps: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """rep, others: how many vectors link with it, copies counted; every pair of a component is compared, in cells of two parts."""
     members = cut(roots.join(reps, F.col("node") == F.col("rep")).select("root", "rep", "copies", "label", "embedding"))
@@ -179,13 +213,20 @@ def _links(reps: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     return cells.repartition(partitions(reps), "cell").sortWithinPartitions("cell").mapInArrow(count, "rep long, others long").groupBy("rep").agg(F.sum("others").alias("others"))
 
 
+def _joined(links: DataFrame, roots: DataFrame, among: DataFrame, least: float) -> DataFrame:
+    """The roots after the links between components of `among` have joined these."""
+    more = cut(_across(among, roots, least))
+    return roots if more.isEmpty() else cut(connected_components(links.union(more)))
+
+
 def near_duplicates(vectors: DataFrame, *, least: float = 0.98, ways: int = 32) -> DataFrame:
     """vec_id, n_links (other vectors with the same label and a cosine of `least` or more), component_id, kept of each row (vec_id, label, embedding).
 
     Exact copies are one vector with a count. Neighbour lists start from sorted orders and are refined by joins of
-    neighbours' neighbours until the audit (AUDIT_ROWS vectors against all) finds AUDIT_RECALL of the links, ROUNDS at most;
-    links then make components. A list that is full of links is enlarged to its whole component: all pairs of a component
-    are compared in cells, so that counts within it are exact and no pair is written down.
+    neighbours' neighbours until the audit (AUDIT_ROWS vectors against all) finds AUDIT_RECALL of the links; if ROUNDS rounds
+    don't reach it, all pairs of a label are compared. Links make components. Only lists that are full of links may lack some,
+    so their vectors are all compared with each other, label by label in cells: links that join components are found exactly.
+    All pairs of a component are then compared in cells, so that counts within it are exact and no pair is written down.
 
     Null labels, null, zero or non-finite vectors, null components: no links, component_id is the own vec_id, kept. Null
     vec_id: such vectors take no part either (kept is true). Repeated rows (same id, too): each counts as a vector of its
@@ -199,14 +240,15 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.98, ways: int = 32)
     reps = cut(rows.groupBy("mark", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("first", F.col("rep")))
     # ids that repeat with other vectors would be one node: such vectors are told apart by a node number of their own
     nodes = cut(reps.withColumn("rep", F.when(F.count(F.lit(1)).over(Window.partitionBy("first")) > 1, F.xxhash64("mark", "first")).otherwise(F.col("first"))))
-    lists = cut(_lists(_start(nodes), NEIGHBOURS))
+    lists = cut(_lists(_start(nodes, least), NEIGHBOURS))
     for n in range(ROUNDS):
-        lists = cut(_refine(lists, nodes))
-        roots = connected_components(lists.where(F.col("s") >= least).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        recall = _audit(nodes, roots, least)
-        if recall >= AUDIT_RECALL:
+        lists = cut(_refine(lists, nodes, least))
+        links = lists.where(F.col("s") >= least).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        roots = _joined(links, cut(connected_components(links)), nodes.join(_full(lists, least), "rep", "left_semi"), least)
+        if _audit(nodes, roots, least) >= AUDIT_RECALL:
             break
-    roots = cut(roots)
+    else:
+        roots = _joined(links.union(roots), roots, nodes, least)
     counted = _links(nodes, roots, least)
     known = nodes.join(roots, F.col("rep") == F.col("node"), "left").join(counted, "rep", "left").select("mark", "label", "embedding", "copies", "first", F.coalesce("root", "rep").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     smallest = known.groupBy("root").agg(F.min("first").alias("component_id"))
