@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -10,39 +11,69 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that goes to a Python worker. Texts may be very long, so batches are kept short.
-BATCH_ROWS = 256
+#: Bytes of one Arrow batch to a Python worker: the same for all operators, so plans that run later are not changed.
+BATCH_BYTES = 16 << 20
+
+#: Rows and bytes of text that a function of map_arrow sees at a time. A longer text comes alone.
+SLICE_ROWS, SLICE_BYTES = 256, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session by rows and, where Spark has the setting, by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, since texts may be very long. Every operator sets the same value."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Without one, a temporary folder serves a local session; on a cluster, whose machines don't share it, this raises."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="vulnweave-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Runs df once and cuts its lineage with a reliable checkpoint.
 
-    The folder is the session's spark.checkpoint.dir; a folder of our own is used only where none is set (tests).
+    Spark deletes the files when the frame is no longer held, where spark.cleaner.referenceTracking.cleanCheckpoints says so.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vulnweave-checkpoint-"))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    return name if name not in taken else f"{name}_{uuid.uuid4().hex}"
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most `rows` rows and, beyond single rows, `most` bytes."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(rows, batch.num_rows - at)
+        while n > 1 and batch.slice(at, n).nbytes > most:
+            n //= 2
+        yield batch.slice(at, n)
+        at += n
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow for long texts: batches to the workers are bounded first."""
-    short_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """mapInArrow for long texts: the function gets them in slices."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(lambda batches: fn(piece for batch in batches for piece in slices(batch)), schema)
 
 
 def key_chunks(batches: Iterable[pa.RecordBatch], key: str, rows: int = 50_000) -> Iterator[pa.Table]:
@@ -72,14 +103,13 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges, np.r_[edges[1:], len(keys)] if len(keys) else edges
 
 
-#: A key counts as hot beyond this share of the rows; so there are at most HOT_KEYS of them, which bounds what is sent out.
+#: Hot keys that are sent out at most: 1024 numbers, whatever the size of the data. A key outside them has at most 1/HOT_KEYS of the rows.
 HOT_KEYS = 1024
 
 
-def hot_keys(counted: DataFrame, key: str, count: str, total: int) -> list[int]:
-    """Keys with over total/HOT_KEYS rows (and over 256 rows): HOT_KEYS at most, whatever the size of the data."""
-    least = max(256, total // HOT_KEYS)
-    return [r[0] for r in counted.where((F.col(count) > least) & F.col(key).isNotNull()).select(key).limit(HOT_KEYS).collect()]
+def hot_keys(counted: DataFrame, key: str, count: str, least: int = 256) -> list[int]:
+    """The HOT_KEYS keys with most rows, of those with over `least` rows; there are no others with more than 1/HOT_KEYS of all rows."""
+    return [r[0] for r in counted.where((F.col(count) > least) & F.col(key).isNotNull()).orderBy(F.desc(count), key).select(key).limit(HOT_KEYS).collect()]
 
 
 def salt_many(hot: list[int], key: str, spread: Column, ways: int) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, short_batches
+from ._common import map_arrow, bound_batches
 
 #: Hashed features; the last row of the matrix, after them, stands for n-grams that don't count.
 FEATURES = 1 << 15
@@ -102,7 +102,7 @@ def predict(model: Model, text: Column) -> Column:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
-    short_batches(spark)
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, short_batches
+from ._common import map_arrow, bound_batches
 
 #: Rows at most on which the weak-label model and the scorer are fitted, taken by a hash of the id.
 SAMPLE_ROWS = 8_000
@@ -157,7 +157,7 @@ def score(weights: np.ndarray, text: Column) -> Column:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
-    short_batches(spark)
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")

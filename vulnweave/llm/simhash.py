@@ -9,18 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from ._common import Forest, cut, hot_keys, key_chunks, map_arrow, partitions, runs, salt_many, salt_one
 from ._graph import connected_components
 
 #: Segments of a fingerprint, their bits, and the largest number of differing bits of a link. Budgets below follow from these.
 SEGMENTS, BITS, DISTANCE = 4, 16, 3
 
-#: Fingerprints of one bucket that a task compares at a time; larger buckets are dealt over cells of pairs of such parts.
+#: Fingerprints of one bucket that a task compares at a time; larger buckets, whatever the size of the data, are dealt over cells of pairs of such parts.
 CELL = 512
 
-#: Buckets that are dealt over cells: at most so many, each over keys/HOT_BUCKETS rows.
-HOT_BUCKETS = 65_536
-
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
     """The fingerprint of one text as an unsigned number; bit 63 is the first of the 16 hex digits."""
@@ -72,13 +70,11 @@ def link_edges(prints: DataFrame) -> DataFrame:
     half = lambda i, h: F.shiftrightunsigned("fp", BITS * (i % SEGMENTS) + 8 * h).bitwiseAND(F.lit(0xFF))
     keys = [F.lit((2 * i + h) << 24).bitwiseOR(F.shiftleft(segment(i), 8)).bitwiseOR(half(i + 1, h)).cast("long") for i in range(SEGMENTS) for h in (0, 1)]
     rows = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
-    counts = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(CELL, total // HOT_BUCKETS)
-    hot = F.broadcast(counts.where(F.col("n") > least).select("key", F.ceil(F.col("n") / CELL).cast("int").alias("parts")))  # HOT_BUCKETS rows at most
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    shared = shared.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = rows.join(hot, "key", "left").withColumn("part", F.coalesce(part, F.lit(0))).withColumn("other", other)
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = rows.join(shared, "key").withColumn("part", part).withColumn("other", other)
     cells = dealt.select("key", "fp", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"))
 
     def compare(batches):
@@ -108,7 +104,6 @@ def link_edges(prints: DataFrame) -> DataFrame:
         for a in range(0, len(u), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(u[a : a + 50_000], pa.int64()), pa.array(v[a : a + 50_000], pa.int64())], ["u", "v"])
 
-    prints.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return cells.repartition(partitions(prints), "cell").sortWithinPartitions("cell").mapInArrow(compare, "u long, v long")
 
 
@@ -123,17 +118,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, ways: int = 32) -> DataF
     roots = connected_components(link_edges(distinct.select("fp")))
     of_root = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     least = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = hot_keys(distinct, "fp", "n", total)
+    hot = hot_keys(distinct, "fp", "n")
     grouped = of_root.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    hot_roots = hot_keys(grouped, "root", "n", distinct.count())
+    hot_roots = hot_keys(grouped, "root", "n")
     known = of_root.withColumn("salt", salt_many(hot_roots, "root", F.col("fp"), ways)).join(least.withColumn("salt", F.explode(salt_one(hot_roots, "root", ways))), ["root", "salt"]).select("fp", "component_id")
     known = known.withColumn("salt", F.explode(salt_one(hot, "fp", ways)))
     return prints.withColumn("salt", salt_many(hot, "fp", F.col("doc_id"), ways)).join(known, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of each group, with all its columns; repeated rows of it stay once. Rows without doc_id stay."""
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    held = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return held.unionByName(docs.where(F.col("doc_id").isNull()))
+def keep_one(docs: DataFrame, *, width: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each group of near duplicates, the one with the smallest doc_id, with all its columns.
+
+    Near duplicates have a Jaccard similarity of `least` or more of their `width`-word shingles, or link with such a text. That
+    takes more than 3 of 64 differing bits: see `shingles`, which also says what happens to odd rows.
+    """
+    return shingles.keep_one(docs, width=width, least=least)
