@@ -20,6 +20,7 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|style)\s*(?:=\s*(?:
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template".split())
+_IN_HEAD = frozenset("head title meta link base script style noscript template basefont bgsound".split())
 _DROPPED = frozenset("head script style noscript template iframe form button select option textarea svg canvas object audio video map dialog".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "option": ("select",)}
@@ -33,7 +34,7 @@ def _names(attributes: str) -> tuple[str, ...]:
         if kind.lower() == "hidden" or kind.lower() == "style" and re.search(r"display\s*:\s*none", value, re.I):
             out.append("hidden")
         elif kind.lower() != "style":
-            out += [p.lower() for p in _PARTS.findall(value)[:12]]
+            out += dict.fromkeys(p.lower() for p in _PARTS.findall(value))
     return tuple(out)
 
 
@@ -46,7 +47,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """
     stack: list[tuple[str, tuple[str, ...]]] = []
     found, pieces, linked, dropped, link = [], [], 0, 0, 0
-    at, n, low = 0, len(page), None
+    at, n, low, in_head = 0, len(page), None, False
 
     def flush():
         nonlocal linked
@@ -63,9 +64,18 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         dropped -= tag in _DROPPED
         link -= tag == "a"
 
+    def end_head():
+        """The first text or element of the body ends the head, whether or not there is a body tag."""
+        nonlocal in_head
+        while any(t == "head" for t, _ in stack):
+            pop()
+        in_head = False
+
     while at < n:
         m = _TAG.search(page, at)
         upto = m.start() if m else n
+        if in_head and page[at:upto].strip():
+            end_head()
         if upto > at and not dropped:
             pieces.append(page[at:upto])
             linked += (upto - at) * (link > 0)
@@ -89,6 +99,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 flush()
             continue
         if tag in _VOID:
+            if in_head and tag not in _IN_HEAD:
+                end_head()
             if tag not in _INLINE:
                 flush()
             elif not dropped:
@@ -101,6 +113,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             close = page.find(">", end) if end >= 0 else -1
             at = close + 1 if close >= 0 else n
             continue
+        if in_head and tag not in _IN_HEAD:
+            end_head()
         if tag not in _INLINE:
             flush()
             if tag in _CLOSES_P:
@@ -119,14 +133,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                         break
                     if stack[i][0] in _SCOPE[tag]:
                         break
-            if stack and tag == "body" and any(t == "head" for t, _ in stack):
-                while any(t == "head" for t, _ in stack):
-                    pop()
         elif tag == "a":
             link += 1
         if not m[3].rstrip().endswith("/") or tag in _INLINE or tag in _CLOSES_P:
             stack.append((tag, _names(m[3]) if m[3] and tag not in _INLINE else ()))
             dropped += tag in _DROPPED
+            in_head |= tag == "head"
     flush()
     return found
 

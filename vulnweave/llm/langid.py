@@ -11,13 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, bound_batches
+from ._common import bound_batches, map_arrow, unused
 
 #: Hashed features; the last row of the matrix, after them, stands for n-grams that don't count.
 FEATURES = 1 << 15
 
-#: Training rows at most (by a hash of the id, whole texts), and languages at most.
-SAMPLE_ROWS, LANGUAGES = 20_000, 200
+#: Training rows, about (by a hash of id and text, whole texts).
+SAMPLE_ROWS = 20_000
+
+#: Numbers that scoring a slice of a text gathers at a time: characters x languages.
+GATHERED = 4_000_000
 
 UNKNOWN = "und"
 
@@ -58,8 +61,13 @@ class Model:
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         total = np.tile(self.prior, (len(texts), 1))
-        for order in range(3):
-            total += np.add.reduceat(self.log_prob[found[:, order]], starts, axis=0, dtype=np.float64)
+        of = np.repeat(np.arange(len(texts)), np.diff(np.r_[starts, len(found)]))
+        step = max(1, GATHERED // len(self.languages))
+        for at in range(0, len(found), step):
+            own = of[at : at + step]
+            edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            for order in range(3):
+                total[own[edges]] += np.add.reduceat(self.log_prob[found[at : at + step, order]], edges, axis=0, dtype=np.float64)
         total = np.exp(total - total.max(axis=1, keepdims=True))
         best = total.argmax(axis=1)
         known = letters > 0
@@ -67,10 +75,15 @@ class Model:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from rows with text and language, `rows` about at most, taken by a hash of the id; counts are summed in Spark."""
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"))
-    total = known.select("i").count()
-    known = known.where(F.pmod(F.xxhash64("i", F.lit("lang")), F.lit(max(1, -(-total // rows)))) == 0)
+    """Learns from rows with text and language: all of them, or about `rows` by a hash of id and text where there are more.
+
+    Counts are summed in Spark. Every language counts that the sample holds. If the sample is empty although there are rows, all of them are learnt from.
+    """
+    every = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"))
+    total = every.select("i").count()
+    known = every.where(F.pmod(F.xxhash64("i", "t", F.lit("lang")), F.lit(max(1, -(-total // rows)))) == 0)
+    if total > rows and known.isEmpty():
+        known = every
 
     def counts(batches):
         sums: dict[str, np.ndarray] = {}
@@ -84,10 +97,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "feature", "n"])
 
     summed = map_arrow(known.select("l", "t"), counts, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    priors = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
+    priors = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(priors)
     matrix = np.zeros((FEATURES + 1, len(languages)))
-    got = summed.where(F.col("lang").isin(languages)).toArrow() if languages else None
+    got = summed.toArrow() if languages else None
     if got is not None and got.num_rows:
         number = {x: i for i, x in enumerate(languages)}
         matrix[got.column("feature").to_numpy(), [number[x] for x in got.column("lang").to_pylist()]] = got.column("n").to_numpy()
@@ -107,8 +120,16 @@ def predict(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
-        lang, score = shared.value.predict(texts.tolist())
-        return pd.DataFrame({"lang_pred": pd.Series(lang, dtype=object), "score": score})
+        langs, scores, held, size = [], [], [], 0
+        for i, text in enumerate(texts):
+            held.append(text)
+            size += len(text or "")
+            if size > 1_000_000 or i == len(texts) - 1:
+                lang, score = shared.value.predict(held)
+                langs += lang
+                scores.append(score)
+                held, size = [], 0
+        return pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": np.concatenate(scores) if scores else np.zeros(0)})
 
     return run(text)
 
@@ -130,6 +151,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows whose language is known with a score of `least` or more; all columns stay as they are."""
-    model = train(docs.where(~held_out()))
-    return docs.withColumn("__p", predict(model, F.col("text"))).where((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.score") >= least)).drop("__p")
+    """The rows whose language is known with a score of `least` or more; all columns stay as they are, whatever their names.
+
+    Null texts and texts without a letter go. Repeated rows: all stay or go. Empty table: no rows.
+    """
+    model, p = train(docs.where(~held_out())), unused(docs, "lang_of")
+    return docs.withColumn(p, predict(model, F.col("text"))).where((F.col(p)["lang_pred"] != UNKNOWN) & (F.col(p)["score"] >= least)).drop(p)

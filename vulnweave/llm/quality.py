@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, bound_batches
+from ._common import bound_batches, map_arrow, unused
 
-#: Rows at most on which the weak-label model and the scorer are fitted, taken by a hash of the id.
+#: Rows, about, on which the weak-label model and the scorer are fitted, taken by a hash of id and text; rows that repeat count once.
 SAMPLE_ROWS = 8_000
 
 #: Hashed features of the scorer.
@@ -42,13 +42,15 @@ _SHAPES: dict[str, int] = {}
 
 
 def _shape(word: str) -> int:
-    """The hashed shape of a word: its characters' kinds with runs as one, at most eight of them."""
+    """The hashed shape of a word: its characters' kinds with runs as one. Only shapes of shorter words are remembered."""
     if (known := _SHAPES.get(word)) is None:
+        kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+        short = _RUN.sub(lambda m: m[1] if m[1] in "Aa0" else m[1] * 2, kinds)
+        known = zlib.crc32(short.encode("utf-8", "surrogatepass")) % (FEATURES - 256)
         if len(_SHAPES) > 300_000:
             _SHAPES.clear()
-        kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
-        short = _RUN.sub(lambda m: m[1] if m[1] in "Aa0" else m[1] * 2, kinds)[:8]
-        known = _SHAPES[word] = zlib.crc32(short.encode("utf-8", "surrogatepass")) % (FEATURES - 256)
+        if len(word) <= 64:
+            _SHAPES[word] = known
     return known
 
 
@@ -137,8 +139,9 @@ def _fit(rows: list[dict[int, float]], target: np.ndarray, rounds: int = 300) ->
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> np.ndarray:
     """The scorer's weights, from `rows` texts about at most; labels of a table aren't used. No text: zero weights."""
     known = docs.where(F.col(text_col).rlike(r"\S")).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    total = docs.select(id_col).count()
-    known = known.where(F.pmod(F.xxhash64("i", F.lit("quality")), F.lit(max(1, -(-total // rows)))) == 0)
+    every, total = known, docs.select(id_col).count()
+    known = every.where(F.pmod(F.xxhash64("i", "t", F.lit("quality")), F.lit(max(1, -(-total // rows)))) == 0)
+    known = (every if known.isEmpty() else known).dropDuplicates(["i", "t"])  # rows that repeat share their hash
 
     def look(batches):
         for batch in batches:
@@ -162,15 +165,13 @@ def score(weights: np.ndarray, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        w = shared.value
-
-        def one(t):
-            if not t or not t.split():
-                return 0.0
-            found = signals(t)[1]
-            return float(1 / (1 + np.exp(np.clip(sum(w[k] * v for k, v in found.items()), -50, 50))))
-
-        return pd.Series([one(t) for t in texts], dtype=float)
+        w, out = shared.value, np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            if t and t.split():
+                found = signals(t)[1]
+                z = w[np.fromiter(found, np.int64, len(found))] @ np.fromiter(found.values(), float, len(found))
+                out[i] = 1 / (1 + np.exp(min(50.0, max(-50.0, z))))
+        return pd.Series(out)
 
     return run(text)
 
@@ -186,6 +187,9 @@ def classify(docs: DataFrame, *, least: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows with a score of `least` or more; all columns stay as they are."""
-    weights = train(docs)
-    return docs.withColumn("__q", score(weights, F.col("text"))).where(F.col("__q") >= least).drop("__q")
+    """The rows with a score of `least` or more; all columns stay as they are, whatever their names.
+
+    Null, empty and blank texts go. Repeated rows: all stay or go. Empty table: no rows.
+    """
+    weights, q = train(docs), unused(docs, "quality_of")
+    return docs.withColumn(q, score(weights, F.col("text"))).where(F.col(q) >= least).drop(q)

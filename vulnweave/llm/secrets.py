@@ -11,20 +11,24 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import unused
+
 #: Marks around candidates. A text's own are blanks first, one for one, so places stay.
 _OPEN, _CLOSE = "\x01", "\x02"
 
 _NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential"
 
-#: What may be a secret: private key blocks, values given to a telling name, long runs with a digit, well-known forms without one.
+#: What may be a secret: private key blocks with all their lines and headers (without an END line: up to the last line of base64), passwords in URLs, values given to a telling name, long runs with a digit, well-known forms without one.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{0,20000}+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----)[^-]*+){0,256}+-----END [A-Z0-9 ]{0,40}-----"
+    r"|-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:\s{1,4}(?:[A-Z][A-Za-z-]{1,30}: [^\n]{1,200}+|[A-Za-z0-9+/]{32,}+={0,2})){0,512}+(?:\s{1,4}[A-Za-z0-9+/]{2,}+={1,2})?"
     rf"|(?i:{_NAMES})[A-Za-z0-9_\-]{{0,30}}[\"']?\s{{0,3}}(?:=>|[:=])\s{{0,3}}[\"']?[^\s\"'<>,;]{{6,}}+"
+    r"|(?<=://)[^\s:/@\"'<>]{1,100}:[^\s:/@\"'<>]{6,200}(?=@)"
     r"|(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]*+[0-9])[A-Za-z0-9_+/=.\-]{12,}+"
     r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z]{16}(?![A-Za-z0-9])"
 )
 
-_VALUE = rf"(?s)^(?:(?i:{_NAMES})[A-Za-z0-9_\-]*[\"']?\s{{0,3}}(?:=>|[:=])\s{{0,3}}[\"']?)?(.*)$"
+_VALUE = rf"(?s)^(?:(?i:{_NAMES})[A-Za-z0-9_\-]*[\"']?\s{{0,3}}(?:=>|[:=])\s{{0,3}}[\"']?|(?!-----)[^\s:/@\"'<>]{{1,100}}:)?(.*)$"
 
 _KNOWN = (
     ("private_key", r"^-----BEGIN [A-Z ]*PRIVATE KEY"),
@@ -49,9 +53,7 @@ FEATURES = ("size", "digits", "upper", "lower", "changes", "pairs", "dictionary"
 def _features(value: Column, before: Column, match: Column, path: Column) -> list[Column]:
     """A candidate's features: length, character transitions, dictionary coverage, the words before it, its path."""
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
-    short = F.substring(value, 1, 200)  # characters are looked at over the first 200; the length is the whole one
-    m = F.greatest(F.length(short), F.lit(1)).cast("double")
-    low = F.lower(short)
+    short, m, low = value, n, F.lower(value)
     share = lambda left: (m - F.length(left)) / m
     kinds = F.regexp_replace(F.translate(short, _UP + _LOW + _NUM, "A" * 26 + "a" * 26 + "0" * 10), r"([Aa0])\1+", "$1")
     chars = F.filter(F.split(short, ""), lambda c: c != "")
@@ -86,15 +88,24 @@ def labelled_findings(n: int = 1800, seed: int = 11) -> list[dict]:
     name = lambda: r.choice(["token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "SECRET_KEY", "auth_token", "pwd", "client_secret", "AWS_SECRET_ACCESS_KEY"])
     glue = lambda: r.choice([" = \"", "=", ": ", ":", "=\"", " = '", "' => '"])
     key = lambda: r.choice([take(hexes, r.choice([18, 24, 32, 40, 64])), take(alnum, r.randint(16, 44)), take(alnum + "+/", 40), take(alnum + "_-", r.randint(20, 40)), take(alnum + "!@#%^&*", r.randint(8, 20))])
-    form = lambda: r.choice(["AKIA" + take(_UP + _NUM, 16), "ghp_" + take(alnum, 36), "sk_live_" + take(alnum, 24), "xoxb-" + take(_NUM, 11) + "-" + take(alnum, 24), "AIza" + take(alnum + "_-", 35), "eyJ" + take(alnum, 20) + ".eyJ" + take(alnum, 40) + "." + take(alnum + "_-", 43), "-----BEGIN RSA PRIVATE KEY-----\n" + take(alnum + "+/", 200) + "\n-----END RSA PRIVATE KEY-----"])
+    def block():
+        kind, end = r.choice([("RSA ", ""), ("EC ", ""), ("", ""), ("ENCRYPTED ", ""), ("OPENSSH ", ""), ("PGP ", " BLOCK")])
+        head = r.choice(["", "", f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{take(hexes.upper(), 32)}\n\n", "Version: x\n\n"])
+        lines = "\n".join(take(alnum + "+/", 64) for _ in range(r.choice([1, 1, 2, 5, 13, 26])))
+        return f"-----BEGIN {kind}PRIVATE KEY{end}-----\n{head}{lines}" + r.choice([f"\n-----END {kind}PRIVATE KEY{end}-----"] * 3 + [""])
+
+    form = lambda: r.choice(["AKIA" + take(_UP + _NUM, 16), "ghp_" + take(alnum, 36), "sk_live_" + take(alnum, 24), "xoxb-" + take(_NUM, 11) + "-" + take(alnum, 24), "AIza" + take(alnum + "_-", 35), "eyJ" + take(alnum, 20) + ".eyJ" + take(alnum, 40) + "." + take(alnum + "_-", 43), block()])
+    address = lambda: r.choice(["https", "postgres", "mysql", "redis", "ftp", "amqp"]) + "://" + word() + ":"
 
     def good():
+        if r.random() < 0.08:
+            return prose() + address(), take(alnum + "!$%^*", r.randint(8, 20))
         if r.random() < 0.35:
             return prose() + r.choice(["", name() + glue()]), form()
         return prose() + name() + glue(), key()
 
     def bad():
-        kind = r.randrange(14)
+        kind = r.randrange(15)
         if kind == 0:
             return prose() + r.choice(["", "card ", "", "order "]), take(_NUM, r.choice([13, 15, 16, 16, 16, 19]))
         if kind == 1:
@@ -121,6 +132,8 @@ def labelled_findings(n: int = 1800, seed: int = 11) -> list[dict]:
             return prose() + r.choice(["token: ", "secret: ", "password: "]), r.choice(["forgotten", "required", "invalid", "expired.", "optional", "rotation", "protected"])
         if kind == 12:
             return prose() + "data:image/png;base64,", take(alnum + "+/", r.randint(40, 80))
+        if kind == 13:
+            return prose() + address(), r.choice(["password", "changeme", "secret", "your_password", "example", "xxxxxxxx", "placeholder"])
         return prose() + r.choice(["phone ", "", "+"]), "-".join([take(_NUM, 3), take(_NUM, 3), take(_NUM, 4)])
 
     out = []
@@ -128,7 +141,8 @@ def labelled_findings(n: int = 1800, seed: int = 11) -> list[dict]:
         label = i % 2
         before, value = (good if label else bad)()
         path = r.choice(["src3", "src0", "src/app.py", "config/settings.yml", "web/index.js"]) if label else r.choice(["src3", "src0", "tests/test_app.py", "docs/readme.md", "package-lock.json", "src/app.py"])
-        out.append({"text": before + value + r.choice(["\" ", " ", "' ", "\n"]) + word(), "path": path, "at": len(before), "label": label})
+        after = f"@{word()}.net/" if "://" in before else r.choice(["\" ", " ", "' ", "\n"])
+        out.append({"text": before + value + after + word(), "path": path, "at": len(before), "label": label})
     return out
 
 
@@ -158,7 +172,7 @@ def train(trees: int = 20, depth: int = 6, seed: int = 5) -> tuple:
     """The forest, from the labelled findings; their features come from the very expressions that the scan uses."""
     spark = SparkSession.getActiveSession()
     findings = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(labelled_findings())), "array<struct<text:string,path:string,at:int,label:int>>")))
-    rows = findings.select("label", "at", F.explode(_candidates(F.col("text"), F.col("path"))).alias("c")).select("label", "at", "c.*").where("start >= at - 1").collect()
+    rows = findings.select("label", "at", F.explode(_candidates(_parts(F.col("text")), F.col("path"))).alias("c")).select("label", "at", "c.*").where("start >= at - 1").collect()
     x, y = np.array([[r[f] for f in FEATURES] for r in rows], float), np.array([r["label"] for r in rows], float)
     r = np.random.default_rng(seed)
     return tuple(_tree(x[own], y[own], r, depth) for own in (r.integers(0, len(y), len(y)) for _ in range(trees)))
@@ -187,13 +201,24 @@ def _struct_of(i: Column, parts: Column, starts: Column, path: Column) -> Column
     return base
 
 
-def _candidates(text: Column, path: Column) -> Column:
-    """array<struct<match, value, before, start, length, features...>> of a text; start and length are in characters."""
-    parts = _parts(text)
-    starts = lambda p: F.aggregate(p, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(F.replace(x, F.lit(_CLOSE), F.lit("")))))).cast("array<int>")
-    held = F.array(F.struct(parts.alias("p")))
-    held = F.transform(held, lambda h: F.struct(h["p"].alias("p"), starts(h["p"]).alias("s")))[0]
-    return F.transform(F.array(held), lambda h: F.when(F.size(h["p"]) > 1, F.transform(F.sequence(F.lit(1), F.size(h["p"]) - 1), lambda i: F.transform(F.array(_struct_of(i, h["p"], h["s"], path)), lambda b: F.struct(b["match"].alias("match"), b["value"].alias("value"), b["before"].alias("before"), b["start"].alias("start"), b["length"].alias("length"), *(f.alias(n) for f, n in zip(_features(b["value"], b["before"], b["match"], path), FEATURES, strict=True))))[0])))[0]
+#: Parts whose lengths are added up together when the places of candidates are found.
+_CHUNK = 64
+
+
+def _starts(parts: Column) -> Column:
+    """The number of characters before each part. Sums are kept for each _CHUNK parts, so work stays near to linear in their number."""
+    size = F.transform(parts, lambda x: F.length(F.replace(x, F.lit(_CLOSE), F.lit(""))))
+    add = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    chunks = lambda n: F.transform(F.sequence(F.lit(0), (F.size(n) / _CHUNK).cast("int")), lambda c: add(F.slice(n, c * _CHUNK + 1, F.lit(_CHUNK))))
+    before = lambda n: F.aggregate(chunks(n), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    bound = F.transform(F.transform(F.array(size), lambda n: F.struct(n.alias("n"), before(n).alias("b"))), lambda h: F.transform(h["n"], lambda _, i: h["b"][(i / _CHUNK).cast("int")] + add(F.slice(h["n"], (i / _CHUNK).cast("int") * _CHUNK + 1, i % _CHUNK))))
+    return bound[0]
+
+
+def _candidates(parts: Column, path: Column) -> Column:
+    """array<struct<match, value, before, start, length, features...>> of a text's parts; start and length are in characters."""
+    held = F.transform(F.array(F.struct(parts.alias("p"))), lambda h: F.struct(h["p"].alias("p"), _starts(h["p"]).alias("s")))
+    return F.transform(held, lambda h: F.when(F.size(h["p"]) > 1, F.transform(F.sequence(F.lit(1), F.size(h["p"]) - 1), lambda i: F.transform(F.array(_struct_of(i, h["p"], h["s"], path)), lambda b: F.struct(b["match"].alias("match"), b["value"].alias("value"), b["before"].alias("before"), b["start"].alias("start"), b["length"].alias("length"), *(f.alias(n) for f, n in zip(_features(b["value"], b["before"], b["match"], path), FEATURES, strict=True))))[0])))[0]
 
 
 def _kind(c: Column) -> Column:
@@ -211,17 +236,30 @@ def findings(docs: DataFrame, *, path_col: str = "source", least: float = 0.5) -
     repeat. Whole texts count. Empty table: no rows. Other columns are ignored.
     """
     forest = train()
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_candidates(F.col("text"), F.col(path_col).cast("string"))).alias("c"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), _parts(F.col("text")).alias("parts")).select("doc_id", F.explode(_candidates(F.col("parts"), F.col("path"))).alias("c"))
     return marked.select("doc_id", F.col("c.start").alias("start"), F.col("c.length").alias("length"), _kind(F.col("c")).alias("kind"), F.col("c.value").alias("secret"), F.round(_probability(forest, F.col("c")), 6).alias("score")).withColumn("is_secret", F.col("score") >= least)
 
 
 def redact(docs: DataFrame, *, path_col: str = "source", least: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret in `text` replaced by `mark`; all other texts, rows and columns stay as they are."""
+    """docs with every secret in `text` replaced by `mark`; all other texts, rows and columns stay as they are, whatever their names.
+
+    Null or empty text: as it is. Repeated rows: changed alike. Empty table: no rows.
+    """
     forest = train()
-    held = docs.withColumn("__c", _candidates(F.col("text"), F.col(path_col).cast("string")))
-    found = F.filter(F.transform(F.col("__c"), lambda c: F.struct(c["start"].cast("int").alias("start"), c["length"].cast("int").alias("length"), _probability(forest, c).alias("score"))), lambda c: c["score"] >= least)
-    held = held.withColumn("__c", found)
+    row, parts, found = (unused(docs, n) for n in ("row", "parts", "found"))
+    held = docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias(row))
+    text = F.col(row)["text"].cast("string")
+    held = held.withColumn(parts, _parts(text)).withColumn(found, _candidates(F.col(parts), F.col(row)[path_col].cast("string")))
+    held = held.withColumn(found, F.transform(F.col(found), lambda c: F.struct(c["match"].alias("match"), c["value"].alias("value"), c["start"].cast("int").alias("start"), c["length"].cast("int").alias("length"), (_probability(forest, c) >= least).alias("secret"))))
+    # each part of the text begins with its candidate, so the cleaned text is made part by part
+    plain = lambda p: F.replace(p, F.lit(_CLOSE), F.lit(""))
+    lead = lambda c: F.length(c["match"]) - F.length(F.regexp_extract(c["match"], _VALUE, 1))
+    clean = lambda p, c: F.when(c["secret"], F.concat(F.substring(c["match"], F.lit(1), lead(c)), F.lit(mark), F.substring(plain(p), lead(c) + c["length"] + 1, F.length(p)))).otherwise(plain(p))
+    joined = F.concat(F.col(parts)[0], F.array_join(F.zip_with(F.slice(F.col(parts), F.lit(2), F.size(parts)), F.col(found), clean), ""))
+    # the marks of candidates stand for characters that a text may have itself: such texts are cut by place
+    own = F.filter(F.col(found), lambda c: c["secret"])
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda a, c: F.struct(F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, c["start"] - a["at"]), F.lit(mark)).alias("out"), (c["start"] + c["length"]).alias("at"))
-    cleaned = F.aggregate(F.col("__c"), begin, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return held.withColumn("text", F.when(F.size("__c") > 0, cleaned).otherwise(F.col("text"))).select(*docs.columns)
+    step = lambda a, c: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, c["start"] - a["at"]), F.lit(mark)).alias("out"), (c["start"] + c["length"]).alias("at"))
+    placed = F.aggregate(own, begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    cleaned = F.when(F.exists(F.col(found), lambda c: c["secret"]), F.when(text.rlike(f"[{_OPEN}{_CLOSE}]"), placed).otherwise(joined)).otherwise(text)
+    return held.select(*[(cleaned if c == "text" else F.col(row)[c]).alias(c) for c in docs.columns])

@@ -23,6 +23,9 @@ from ._common import map_arrow, partitions
 #: Characters of text that share one local vocabulary.
 BATCH_CHARS = 12_000_000
 
+#: Bytes of text for each bucket of distinct words, so that a bucket's words stay few however large the corpus is.
+BUCKET_BYTES = 64 << 20
+
 #: Texts of these characters alone (ASCII without rare controls, Latin letters) are split alike by Python's own regular expressions.
 _PLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ɏ]")
 _QUICK = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -51,20 +54,23 @@ def encoding(path: str):
 
 @functools.cache
 def _hf(path: str):
+    """(the tokenizer, a pattern of the added tokens' contents)"""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    added = [t.content for t in found.get_added_tokens_decoder().values()]
+    return found, re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
 
 
 def encode_text(text: str, path: str) -> list[int]:
-    """Ids of one text by a tokenizers .json file, without special tokens.
+    """Ids of one text by a tokenizers .json file, without special tokens: what the plain call of that library gives.
 
-    Plain Latin texts, which both libraries split alike, go through the faster one with the same ranks (tests hold it against tokenizers); all others through tokenizers itself.
+    Plain Latin texts, which both libraries split alike, go through the faster one with the same ranks (tests hold it against
+    tokenizers); all others, and those that spell an added token, through tokenizers itself.
     """
-    return _hf(path).encode(text, add_special_tokens=False).ids if _PLAIN.search(text) else encoding(path).encode_ordinary(text)
+    slow, added = _hf(path)
+    return slow.encode(text, add_special_tokens=False).ids if _PLAIN.search(text) or added.search(text) else encoding(path).encode_ordinary(text)
 
 
 @functools.cache
@@ -206,7 +212,8 @@ def encode(docs: DataFrame, path: str, *, output: str = "ids", batch_chars: int
     Null or empty text: no ids. Null doc_id: kept. Repeated rows: one result each. Empty table: no rows. Other columns are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = partitions(docs)
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(partitions(docs), -(-size // BUCKET_BYTES))
     by_batch = _encoded(_vocabulary(source, buckets, batch_chars), buckets, path)
     digest = output == "digest"
 
