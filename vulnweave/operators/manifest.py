@@ -21,7 +21,7 @@ FILES = (
     ("ruby", "Gemfile.lock", "gemfile_lock", 1), ("ruby", "Gemfile", "gemfile", 2), ("ruby", "gemfile.lock", "gemfile_lock", 3), ("ruby", "gemfile", "gemfile", 4),
     ("rust", "Cargo.lock", "cargo_lock", 1), ("rust", "Cargo.toml", "cargo_toml", 2),
     ("erlang", "rebar.lock", "rebar_lock", 1), ("erlang", "rebar.config", "rebar_config", 2),
-    ("c", "kulin.txt", "c_list", 1),
+    ("c", "libraries.txt", "c_list", 1),
 )
 
 

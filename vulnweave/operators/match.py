@@ -15,11 +15,48 @@ def _length_band(length: Column, least: float, kind: str) -> tuple[Column, Colum
     return F.ceil(length * t - 1e-9).cast("int"), F.floor(length / t + 1e-9).cast("int")
 
 
+def grams(text: Column, size: int) -> Column:
+    """All runs of `size` characters, overlapping ones too, in order."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+#: Letters by their frequency in names and prose, the commonest first; what isn't among them counts as rarer.
+_COMMON = "etaoinsrlhdcumpgfbywvkxjqz"
+
+
+def _rarest(text: Column, n: Column) -> Column:
+    """The n characters of a text that are rare in general, repeats counted before they are dropped."""
+    ranked = F.array_sort(F.transform(grams(text, 1), lambda c: F.struct(F.when(F.instr(F.lit(_COMMON), c) == 0, -99).otherwise(-F.instr(F.lit(_COMMON), c)).alias("r"), c.alias("c"))))
+    return F.array_distinct(F.transform(F.slice(ranked, F.lit(1), n), lambda x: x["c"]))
+
+
+def _keys_asked(name: Column, kind: str, least: float) -> Column:
+    """Grams of a name, one of which every partner within the threshold holds.
+
+    Edits: at most D = (1 - t) m / t of them fit, so of D + 1 pieces of the name one stays whole; where pieces get too short,
+    at most (1 - t) m characters are lost, so of one more character than that one stays. Substrings: a common one has at least
+    m t / (2 - t) characters, and so holds a gram that begins at each such distance.
+    """
+    m = F.length(name)
+    if kind == "lcs":
+        shortest = F.greatest(F.lit(1), F.ceil(m * (least / (2 - least)) - 1e-9).cast("int"))
+        size = F.least(F.lit(3), shortest)
+        return F.when(m == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), m - size, shortest - size + 1), lambda p: F.substring(name, p + 1, size))))
+    edits = F.floor(m * ((1 - least) / least) + 1e-9).cast("int")
+    piece = F.floor(m / (edits + 1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), edits), lambda k: F.substring(name, F.floor(k * m / (edits + 1)).cast("int") + 1, F.least(F.lit(3), piece)))
+    return F.when(m == 0, F.array(F.lit(""))).when(piece >= 2, F.array_distinct(pieces)).otherwise(_rarest(name, F.floor(m * (1 - least) + 1e-9).cast("int") + 1))
+
+
+def _keys_held(entry: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
+    return F.when(F.length(entry) == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.concat(*(grams(entry, n) for n in sizes))))
+
+
 def fuzzy_pairs(names: DataFrame, white_list: DataFrame, kind: str, least: float) -> DataFrame:
     """(name) x (pos, entry) -> name, pos, entry, sim: all pairs of distinct names with a similarity of `least` or more.
 
-    No cross product: string measures join on the length, as only lengths within a band can reach the threshold; word
-    measures join on a shared word. Both lose no pair for least > 0.
+    No cross product: string measures join on a gram that partners have to share together with the partner's length, which has
+    to lie within a band; word measures join on a shared word. Both lose no pair for least > 0.
     """
     if least <= 0:
         raise ValueError("a fuzzy join needs a threshold above 0")
@@ -27,8 +64,9 @@ def fuzzy_pairs(names: DataFrame, white_list: DataFrame, kind: str, least: float
     a, b = names.select("name").where(F.col("name").isNotNull()).distinct(), white_list.where(F.col("entry").isNotNull())
     if kind in ("lev", "lcs"):
         low, high = _length_band(F.length("name"), least, kind)
-        left = a.withColumn("n", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, F.lit(0)))))
-        met = left.join(b.withColumn("n", F.length("entry")), "n").drop("n")
+        left = a.select("name", F.explode(_keys_asked(F.col("name"), kind, least)).alias("gram"), F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, F.lit(0))).alias("band")).select("name", "gram", F.explode("band").alias("n"))
+        right = b.select("pos", "entry", F.length("entry").alias("n"), F.explode(_keys_held(F.col("entry"))).alias("gram"))
+        met = left.join(right, ["gram", "n"]).select("name", "pos", "entry").distinct()
     else:
         words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))))
         met = a.withColumn("w", words("name")).join(b.withColumn("w", words("entry")), "w").drop("w").distinct()
@@ -68,11 +106,14 @@ def label_match(labels: DataFrame, libraries: DataFrame, least: float) -> DataFr
     open_ = asked.join(names, F.col("label") == F.col("name"), "left_anti")
     artifacts = coords.select("artifact").distinct()
     same = open_.join(artifacts, F.col("want") == F.col("artifact")).withColumn("a_rank", F.lit(1))
-    # weighted distance >= |length difference| (insert) or twice it (delete): so a length band holds here, too
+    # weighted distance >= |length difference| (insert) or twice it (delete): so a length band holds here, too. A lost
+    # character costs 2, so of one more character than (1 - least) n one stays
     length = F.length("want")
     low, high = F.ceil(length - (1 - least) * length - 1e-9).cast("int"), F.floor(length + 2 * (1 - least) * length + 1e-9).cast("int")
-    others = open_.join(artifacts, F.col("want") == F.col("artifact"), "left_anti").withColumn("n", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, low, F.lit(0)))))
-    near = others.join(artifacts.withColumn("n", F.length("artifact")), "n").withColumn("sim", F.round(weighted_similarity(F.col("want"), F.col("artifact")), 9)).where(F.col("sim") >= least)
+    others = open_.join(artifacts, F.col("want") == F.col("artifact"), "left_anti").select("id", "label", "want", "want_group", F.explode(_rarest(F.col("want"), F.floor(length * (1 - least) + 1e-9).cast("int") + 1)).alias("gram"), F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, low, F.lit(0))).alias("band"))
+    others = others.withColumn("n", F.explode("band")).drop("band")
+    held = artifacts.select("artifact", F.length("artifact").alias("n"), F.explode(_keys_held(F.col("artifact"), (1,))).alias("gram"))
+    near = others.join(held, ["gram", "n"]).drop("gram").distinct().withColumn("sim", F.round(weighted_similarity(F.col("want"), F.col("artifact")), 9)).where(F.col("sim") >= least)
     near = top_k(near, ["id"], [F.desc("sim"), F.desc("artifact")], 3, "a_rank")
     chosen = same.select("id", "want_group", "artifact", "a_rank").unionByName(near.select("id", "want_group", "artifact", "a_rank"))
     met = chosen.join(coords, "artifact").withColumn("sim", F.round(weighted_similarity(F.col("want_group"), F.col("group")), 9))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .match import grams
 from .relational import top_k
 
 #: Other names of a package.
@@ -31,9 +32,6 @@ KNOWN = {
     "CVE-2021-22119": ("spring", "spring-framework"), "CVE-2021-41773": ("apache", "httpd"),
 }
 
-#: Versions (from, to) in which a package is known to be open to attack.
-CRITICAL_VERSIONS = {"log4j": ((2, 0, 0), (2, 16, 0)), "apache-commons-text": ((1, 0, 0), (1, 10, 0))}
-
 #: Package names that count when a text holds them as a word.
 COMMON = "log4j spring django flask express openssl mysql postgresql sqlite requests curl wget nginx apache tomcat jboss jetty".split()
 
@@ -53,8 +51,8 @@ PATTERNS = {
 
 
 def mentions(text: Column, kind: str) -> Column:
-    """All whole matches of a pattern, in order."""
-    return F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    """All whole matches of a pattern, in order; letters and digits of all alphabets count as such."""
+    return F.regexp_extract_all(text, F.lit("(?U)" + PATTERNS[kind]), F.lit(0))
 
 
 def _array(values) -> Column:
@@ -109,21 +107,30 @@ def similarity_of_lower(name: Column, version: Column, text: Column, low: Column
     return F.struct(score.alias("score"), F.array_join(F.transform(F.filter(features, lambda x: x["score"] > 0), lambda x: x["feature"]), ";").alias("reasoning"))
 
 
-def match(components: DataFrame, vulnerabilities: DataFrame, *, broadcast_rows: int = 20_000, all_hits: bool = False) -> DataFrame:
+def _held_grams(text: Column) -> Column:
+    """All runs of three, two and one characters of a text."""
+    three = F.array_distinct(grams(F.concat(text, F.lit("  ")), 3))
+    return F.transform(F.array(three), lambda t: F.array_distinct(F.concat(t, F.transform(t, lambda g: F.substring(g, 1, 2)), F.transform(t, lambda g: F.substring(g, 1, 1)))))[0]
+
+
+def _anchor(word: Column) -> Column:
+    """The run of three characters of a word, or the word if it is shorter, that has most letters that are rare."""
+    rare = lambda g: F.length(F.translate(g, "etaoinsrhldcu ", ""))
+    return F.when(F.length(word) < 3, word).otherwise(F.array_max(F.transform(grams(word, 3), lambda g: F.struct(rare(g).alias("rare"), g.alias("gram"))))["gram"])
+
+
+def match(components: DataFrame, vulnerabilities: DataFrame, *, all_hits: bool = False) -> DataFrame:
     """(comp_id, name, version) x (vuln_id, title, description) -> vuln_id, comp_id, similarity, match_type, confidence, reasoning.
 
     A component whose name begins with a suspected package, or the other way round, counts 0.95; all others count by their
     features if these reach more than 0.5 (high: more than 0.75). The best row of each pair is kept, or all (all_hits).
 
-    Every rule needs a part of the component's name, a domain word or an alias in the text, so components join vulnerabilities
-    by such words and not in a cross product: exact, partial and keyword rules by their words' presence, which is tested once
-    for each distinct word and text. Up to broadcast_rows components (their number is counted) are sent to all tasks, beyond
-    that components are dealt out with the words.
+    Every rule needs a part of the component's name, a domain word or an alias in the text. So distinct words join texts on a
+    run of three characters that the text has to hold, what is met is tested, and components join texts by such words:
+    equality joins throughout, whatever the sizes. No row is lost.
     """
     name = F.lower("name")
     keyed = components.where(F.coalesce(F.col("name"), F.lit("")) != "").select("comp_id", "name", "version")
-    few = keyed.limit(broadcast_rows + 1).count() <= broadcast_rows
-    small = F.broadcast(keyed) if few else keyed
     guess = suspected(vulnerabilities)
     prefix = F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substring(F.col("key"), 1, i)))
     short = keyed.select("comp_id", name.alias("key"))
@@ -133,8 +140,9 @@ def match(components: DataFrame, vulnerabilities: DataFrame, *, broadcast_rows:
     low = F.lower(F.coalesce("description", F.lit("")))
     texts = vulnerabilities.select("vuln_id", F.concat(F.lower(F.coalesce("title", F.lit(""))), F.lit(" "), low).alias("body"), low.alias("low"))
     words = F.array_distinct(F.concat(F.array(name), F.filter(F.split(name, r"[:\-/_.]"), lambda p: F.length(p) > 2), F.coalesce(F.try_element_at(_map(DOMAIN_WORDS), name), _array(())), F.coalesce(F.try_element_at(_map(ALIASES), name), _array(()))))
-    vocabulary = small.select(F.explode(words).alias("word")).distinct()
-    held = texts.select("vuln_id", "body").join(F.broadcast(vocabulary) if few else vocabulary, F.col("body").contains(F.col("word"))).select("vuln_id", "word")
+    vocabulary = keyed.select(F.explode(words).alias("word")).distinct().select("word", _anchor(F.col("word")).alias("gram"))
+    likely = texts.select("vuln_id", F.explode(_held_grams(F.col("body"))).alias("gram")).join(vocabulary, "gram").select("vuln_id", "word").distinct()
+    held = likely.join(texts.select("vuln_id", "body"), "vuln_id").where(F.col("body").contains(F.col("word"))).select("vuln_id", "word").distinct()
     met = held.join(keyed.select("comp_id", F.explode(words).alias("word")), "word").select("vuln_id", "comp_id").distinct().join(keyed, "comp_id").join(texts, "vuln_id")
     scored = met.withColumn("s", similarity_of_lower(F.lower("name"), F.col("version"), F.col("body"), F.col("low"))).where(F.col("s.score") > 0.5)
     alike = scored.select("vuln_id", "comp_id", F.col("s.score").alias("similarity"), F.lit("similarity_based").alias("match_type"), F.when(F.col("s.score") > 0.75, "high").otherwise("medium").alias("confidence"), F.col("s.reasoning").alias("reasoning"))

@@ -167,7 +167,7 @@ def parse_summary(spark, sf_dir):
     return M.parse_summary(asked, M.extract(_files(spark, sf_dir, "go_mod")))
 
 
-_TREE = Fixture("project string, rel_dir string, file string", [("a", "", "package.json"), ("a", "", "yarn.lock"), ("a", "sub", "package.json"), ("a", "", "POM.XML"), ("a", "py", "setup.py"), ("a", "py", "Pipfile"), ("b", "", "kulin.txt"), ("b", "", "README")])
+_TREE = Fixture("project string, rel_dir string, file string", [("a", "", "package.json"), ("a", "", "yarn.lock"), ("a", "sub", "package.json"), ("a", "", "POM.XML"), ("a", "py", "setup.py"), ("a", "py", "Pipfile"), ("b", "", "libraries.txt"), ("b", "", "README")])
 
 
 @query(f"""SELECT project, rel_dir, file, ecosystem, format FROM (SELECT *, row_number() OVER (PARTITION BY project, rel_dir, ecosystem ORDER BY precedence, file) AS r FROM {_TREE.sql} t JOIN {Fixture('ecosystem string, known string, format string, precedence int', list(M.FILES)).sql} k ON CASE WHEN lower(t.file) = 'pom.xml' THEN 'pom.xml' ELSE t.file END = k.known) WHERE r = 1""")
@@ -204,7 +204,7 @@ def version_constraints(spark, sf_dir):
     return _versions(spark, sf_dir).select("n_nationkey", "raw", F.size(c).cast("long").alias("n"), V.is_unconstrained(c).alias("free"), V.min_version(c).alias("low"), V.max_version(c).alias("high"), V.exact_version(c).alias("exact"))
 
 
-@query(f"""{_CONSTRAINTS_SQL} SELECT n_nationkey, raw, CASE WHEN len(c) = 0 THEN '*' ELSE array_to_string(list_transform(c, lambda x: map_extract(MAP {{{', '.join(f'{literal(k)}: {literal(v)}' for k, v in V.SYMBOLS.items())}}}, x.op)[1] || x.version), ',') END AS text FROM p""")
+@query(f"""{_CONSTRAINTS_SQL} SELECT n_nationkey, raw, coalesce(array_to_string(list_transform(c, lambda x: CASE x.op WHEN 'EQ' THEN '==' WHEN 'GE' THEN '>=' WHEN 'GT' THEN '>' WHEN 'LE' THEN '<=' WHEN 'LT' THEN '<' WHEN 'NE' THEN '!=' WHEN 'COMPATIBLE' THEN '~=' WHEN 'TILDE' THEN '~' WHEN 'CARET' THEN '^' END || x.version), ', '), '') AS text FROM p""")
 def version_render(spark, sf_dir):
     return _versions(spark, sf_dir).select("n_nationkey", "raw", V.render(F.col("c")).alias("text"))
 

@@ -132,7 +132,7 @@ guess AS (SELECT vuln_id, lower(raw) AS name, round(least(1.0::DOUBLE, max(great
 """
 
 
-_DOCS = "(SELECT 'CVE-2021-' || doc_id AS vuln_id, source AS title, text AS description FROM documents)"
+_DOCS = "(SELECT 'CVE-2021-' || doc_id AS vuln_id, source AS title, text || ' Affects ' || p_name || '.' AS description FROM documents LEFT JOIN part ON p_partkey = doc_id % 200 + 1)"
 _PARTS = "(SELECT p_partkey AS comp_id, p_name AS name, p_brand AS version FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part) WHERE r = 1)"
 
 
@@ -162,16 +162,18 @@ def rule_match_rules(spark, sf_dir):
 
 @query(_match_sql(_PARTS, _DOCS))
 def rule_match(spark, sf_dir):
-    """Parts as components, documents as vulnerabilities."""
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("CVE-2021-"), "doc_id").alias("vuln_id"), F.col("source").alias("title"), F.col("text").alias("description"))
-    parts = R.distinct_on(table(spark, sf_dir, "part").select("p_name", "p_partkey", "p_brand"), ["p_name"], [F.col("p_partkey")])
+    """Parts as components, documents as vulnerabilities; each text ends with the name of a part that it affects."""
+    part = table(spark, sf_dir, "part")
+    docs = table(spark, sf_dir, "documents").join(part.select("p_partkey", F.col("p_name").alias("affected")), F.col("p_partkey") == F.col("doc_id") % 200 + 1, "left")
+    docs = docs.select(F.concat(F.lit("CVE-2021-"), "doc_id").alias("vuln_id"), F.col("source").alias("title"), F.concat("text", F.lit(" Affects "), "affected", F.lit(".")).alias("description"))
+    parts = R.distinct_on(part.select("p_name", "p_partkey", "p_brand"), ["p_name"], [F.col("p_partkey")])
     return rules.match(parts.select(F.col("p_partkey").alias("comp_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("version")), docs)
 
 
-@query("SELECT doc_id, coalesce(regexp_extract_all(text, '\\b(\\d+\\.\\d+(?:\\.\\d+)?(?:[-.]?[a-zA-Z0-9]+)?)\\b'), []) AS versions, len(regexp_extract_all(text, '(?i)\\b([a-z0-9][\\w\\-]*)\\b')) AS n FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', ' ', 'g') AS text FROM documents)")
+@query(None)
 def entity_mentions(spark, sf_dir):
-    """On the ASCII part of the texts: word characters differ between the engines elsewhere."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", " ").alias("text"))
+    """Over whole texts; held against Python's patterns by a test, since word characters differ in the SQL engine."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", rules.mentions(F.col("text"), "version").alias("versions"), F.size(rules.mentions(F.col("text"), "python_package")).cast("long").alias("n"))
 
 

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one (spark.checkpoint.dir); a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vulnweave-stream-")
+    """A new folder below the cluster's shared one (spark.checkpoint.dir). Without one, a temporary folder serves a local session; on a cluster this raises."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="vulnweave-stream-")
     return os.path.join(base, f"stream-{uuid.uuid4().hex}")
 
 
