@@ -264,6 +264,75 @@ def python_dependencies(specs: DataFrame) -> DataFrame:
     return distinct_on(parsed, ["project", "key", "kind"], [F.col("seq")]).select("project", "name", "extras", "constraint", "markers", "kind")
 
 
+def _project_specs(body: Column) -> Column:
+    """What a pyproject.toml asks for: [project], its optional groups, and a poetry table without the interpreter. Unreadable: nothing."""
+
+    @F.pandas_udf("array<struct<spec:string,kind:string,manager:string,version:string>>")
+    def run(bodies: pd.Series) -> pd.Series:
+        import tomllib
+
+        def one(text):
+            try:
+                data = tomllib.loads(text or "")
+                project, poetry = data.get("project", {}), data.get("tool", {}).get("poetry", {})
+                out = [(d, "production", "pip", None) for d in project.get("dependencies", [])]
+                out += [(d, f"optional[{g}]", "pip", None) for g, own in project.get("optional-dependencies", {}).items() for d in own]
+                for name, v in poetry.get("dependencies", {}).items():
+                    if name.lower() != "python":
+                        out.append((name, "production", "poetry", v if isinstance(v, str) else v.get("version", "unknown") if isinstance(v, dict) else "unknown"))
+                return [dict(zip(("spec", "kind", "manager", "version"), x, strict=True)) for x in out if isinstance(x[0], str)]
+            except (tomllib.TOMLDecodeError, AttributeError, TypeError):
+                return []
+
+        return bodies.map(one)
+
+    return run(body)
+
+
+def python_project(files: DataFrame) -> DataFrame:
+    """(project, path, file, body) -> project, name, version, manager, path: what the Python files of a project ask for, each (name, version) once.
+
+    pyproject.toml ([project], its optional groups, poetry), requirements*.txt and the install_requires list of setup.py count;
+    the first by path, then by place, is kept. Version: the first run of digits and dots of a requirement, as written for
+    poetry, `unknown` if there is none. Files that can't be read give no row.
+    """
+    from .relational import distinct_on
+
+    lines = F.filter(F.transform(_lines(F.col("body")), lambda x: strip(x)), lambda x: (x != "") & ~x.rlike("^[#-]"))
+    listed = F.regexp_extract_all(F.regexp_extract("body", r"(?s)install_requires\s*=\s*\[(.*?)\]", 1), F.lit("[\"']([^\"']+)[\"']"), F.lit(1))
+    pip = lambda specs: F.transform(specs, lambda x: F.struct(x.alias("spec"), F.lit("production").alias("kind"), F.lit("pip").alias("manager"), F.lit(None).cast("string").alias("version")))
+    text = files.where(F.col("file").rlike(r"^requirements[^/]*\.txt$") | (F.col("file") == "setup.py")).withColumn("specs", F.when(F.col("file") == "setup.py", pip(listed)).otherwise(pip(lines)))
+    toml = files.where("file = 'pyproject.toml'").withColumn("specs", _project_specs(F.col("body")))
+    long = text.unionByName(toml).select("project", "path", F.posexplode("specs").alias("seq", "s")).select("project", "path", "seq", "s.*")
+    own = F.trim(F.regexp_extract("spec", r"^([^;]*)", 1))
+    name, rest = (F.regexp_extract(own, r"^([a-zA-Z0-9_.\-]+)(?:\[.*?\])?(.*)$", i) for i in (1, 2))
+    digits = F.regexp_extract(rest, r"([\d.]+)", 1)
+    found = long.select("project", "path", "seq", "manager", name.alias("name"), F.coalesce("version", F.when(digits == "", "unknown").otherwise(digits)).alias("version")).where("name <> ''")
+    return distinct_on(found, ["project", "name", "version"], [F.col("path"), F.col("seq")]).select("project", "name", "version", "manager", "path")
+
+
+#: The Python files of a project, the first that counts first.
+PYTHON_ORDER = ("poetry.lock", "Pipfile.lock", "requirements.txt", "setup.py", "pyproject.toml", "Pipfile")
+
+
+def python_metadata(dependencies: DataFrame, *, strict: bool = False) -> DataFrame:
+    """(project, file, seq, name, kind, constraint, extras) -> a row for each project: dependencies, how many have constraints or extras, files.
+
+    Files count in PYTHON_ORDER; of equal (lower-case name, kind) the first is kept. Where a lock file gives rows, those of
+    requirements.txt are left out, as they are less exact (strict: they stay).
+    """
+    from .relational import distinct_on
+
+    place = F.array_position(F.array(*map(F.lit, PYTHON_ORDER)), F.col("file"))
+    known = dependencies.where(F.col("file").isin(*PYTHON_ORDER)).select("project", place.alias("place"), "seq", "file", "name", F.lower("name").alias("key"), "kind", "constraint", "extras")
+    files = known.groupBy("project").agg(F.array_sort(F.collect_set(F.struct("place", "file"))).alias("f")).select("project", F.transform("f", lambda x: x["file"]).alias("files"))
+    locked = known.where(F.lower("file").contains("lock")).select("project").distinct()
+    asked = known if strict else known.where("file <> 'requirements.txt'").unionByName(known.where("file = 'requirements.txt'").join(locked, "project", "left_anti"))
+    once = distinct_on(asked, ["project", "key", "kind"], [F.col("place"), F.col("seq")])
+    counts = once.groupBy("project").agg(F.count(F.lit(1)).alias("total_found"), F.count_if(F.coalesce("constraint", F.lit("")) != "").alias("with_constraints"), F.count_if(F.size("extras") > 0).alias("with_extras"))
+    return counts.join(files, "project").select("project", "total_found", "with_constraints", "with_extras", "files")
+
+
 def ruby_advanced(body: Column) -> Column:
     """Gems of a Gemfile without comments and without local or repository gems; the version is its first run of digits and dots."""
     keep = F.filter(F.transform(_lines(body), lambda s: F.regexp_replace(s, "#.*$", "")), lambda s: s.rlike("^\\s*gem\\s+[\"']") & ~s.rlike(r"(path|git|github):"))

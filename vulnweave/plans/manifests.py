@@ -228,6 +228,44 @@ def pep508_requirements(spark, sf_dir):
     return M.python_dependencies(_REQUIREMENTS.df(spark))
 
 
+_PYPROJECT = """[project]
+name = "x"
+dependencies = ["requests[security]>=2.28", "attrs", 'tomli>=1.1.0 ; python_version < "3.11"']
+[project.optional-dependencies]
+dev = ["pytest>=7", "requests[security]>=2.28"]
+[tool.poetry.dependencies]
+python = "^3.8"
+numpy = "^1.21"
+torch = {version = ">=2.0", optional = true}
+local = {path = "../x"}
+"""
+_PY_FILES = Fixture("project string, path string, file string, body string", [
+    ("p", "a/pyproject.toml", "pyproject.toml", _PYPROJECT), ("p", "a/requirements-dev.txt", "requirements-dev.txt", "# c\npytest>=7\n-r other.txt\nblack==23.1 ; x\n\nattrs\n"),
+    ("q", "setup.py", "setup.py", "setup(name='q', install_requires=['django>=3.0', \"six\"])"), ("q", "pyproject.toml", "pyproject.toml", "not toml ["), ("r", "requirements.txt", "requirements.txt", ""),
+])
+
+
+@query("""SELECT * FROM (VALUES ('p', 'requests', '2.28', 'pip', 'a/pyproject.toml'), ('p', 'attrs', 'unknown', 'pip', 'a/pyproject.toml'), ('p', 'tomli', '1.1.0', 'pip', 'a/pyproject.toml'), ('p', 'pytest', '7', 'pip', 'a/pyproject.toml'), ('p', 'numpy', '^1.21', 'poetry', 'a/pyproject.toml'), ('p', 'torch', '>=2.0', 'poetry', 'a/pyproject.toml'), ('p', 'local', 'unknown', 'poetry', 'a/pyproject.toml'), ('p', 'black', '23.1', 'pip', 'a/requirements-dev.txt'), ('q', 'django', '3.0', 'pip', 'setup.py'), ('q', 'six', 'unknown', 'pip', 'setup.py')) AS t(project, name, version, manager, path)""")
+def python_project(spark, sf_dir):
+    return M.python_project(_PY_FILES.df(spark))
+
+
+def _python_found(spark, sf_dir):
+    """Suppliers' parts as what files of a project ask for."""
+    place = F.element_at(F.array(*map(F.lit, M.PYTHON_ORDER)), (F.col("l_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").cast("string").alias("project"), place.alias("file"), F.col("l_orderkey").alias("seq"), F.concat(F.lit("P"), (F.col("l_partkey") % 40).cast("string")).alias("name"), F.when(F.col("l_partkey") % 3 == 0, "development").otherwise("production").alias("kind"), F.when(F.col("l_orderkey") % 2 == 0, ">=1").alias("constraint"), F.when(F.col("l_orderkey") % 5 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("extras"))
+
+
+@query("""WITH k AS (SELECT l_suppkey::VARCHAR AS project, l_partkey % 6 AS place, l_orderkey AS seq, lower('P' || (l_partkey % 40)) AS key, l_partkey % 3 = 0 AS kind, l_orderkey % 2 = 0 AS c, l_orderkey % 5 = 0 AS e FROM lineitem WHERE l_linenumber = 1),
+g AS (SELECT *, bool_or(place IN (0, 1)) OVER (PARTITION BY project) AS locked FROM k),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, key, kind ORDER BY place, seq) AS r FROM g WHERE NOT (locked AND place = 2)) WHERE r = 1),
+n AS (SELECT project, count(*)::BIGINT AS total_found, count_if(c)::BIGINT AS with_constraints, count_if(e)::BIGINT AS with_extras FROM o GROUP BY project),
+f AS (SELECT project, list_transform(list_sort(list_distinct(list(place))), lambda p: ['poetry.lock', 'Pipfile.lock', 'requirements.txt', 'setup.py', 'pyproject.toml', 'Pipfile'][p + 1]) AS files FROM k GROUP BY project)
+SELECT project, total_found, with_constraints, with_extras, files FROM n JOIN f USING (project)""")
+def python_project_metadata(spark, sf_dir):
+    return M.python_metadata(_python_found(spark, sf_dir))
+
+
 _GEMS = Fixture("n int, body string", [(0, "gem 'rails', '~> 6.0.1' # web\n#gem 'x'\ngem 'local', path: '../l'\ngem 'g', github: 'a/b'\ngem \"pg\", '>= 0.18', '< 2.0'\ngem 'puma'\n")])
 
 
