@@ -242,6 +242,47 @@ def test_groups_in_buckets_of_any_size(spark, monkeypatch, cell):
     assert sorted(x.doc_id for x in shingles.keep_one(df).collect()) == sorted(set(root))
 
 
+def test_texts_with_more_candidates_than_a_round_compares(spark, monkeypatch):
+    """A family of texts below the threshold, whose fingerprints look near, and in it a few links: the last round finds those that the nearest candidates hide."""
+    monkeypatch.setattr(shingles, "NEAREST", 1)
+    monkeypatch.setattr(shingles, "CELL", 16)
+    r = np.random.default_rng(3)
+    word = lambda: "".join(r.choice(list("abcdefghijkl"), 5))
+    base = [word() for _ in range(200)]
+    texts = []
+    for k in range(60):
+        now = list(base)
+        for place in r.choice(200, 6, replace=False):
+            now[place] = word()
+        texts.append(" ".join(now))
+        if k % 6 == 0:
+            for place in r.choice(200, 3, replace=False):
+                now[place] = word()
+            texts.append(" ".join(now))
+    root = similar_roots(texts)
+    assert 20 < len(set(root)) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in shingles.keep_one(df).collect()) == sorted(set(root))
+
+
+def test_bitmaps_rule_out_no_similar_sets():
+    r = np.random.default_rng(5)
+    for n in (1, 5, 40, 400, 20_000):
+        for differ in (0.0, 0.05, 0.1, 0.112, 0.3):
+            a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.r_[a[: round(len(a) * (1 - differ))], r.integers(0, 1 << 63, round(len(a) * differ), dtype=np.uint64)])
+            common = len(np.intersect1d(a, b))
+            similar = common >= 0.8 * (len(a) + len(b) - common) - 1e-9
+            bits = []
+            for h in (a, b):
+                own = np.zeros(shingles.BITMAP, bool)
+                own[(h & np.uint64(shingles.BITMAP - 1)).astype(np.int64)] = True
+                bits.append(np.packbits(own).view(np.uint64)[None])
+            may = bool(shingles._may_be_similar(*bits, np.array([len(a)]), np.array([len(b)]), 0.8)[0])
+            assert may or not similar
+            assert n != 400 or differ != 0.3 or not may
+
+
 def test_columns_of_any_name_stay(spark):
     names = ["doc_id", "text", "lang", "source", "row", "__p", "__q", "__c", "__kept", "a.b", "node_of", "id_of", "root", "parts", "found", "quality_of", "lang_of"]
     text = "The cat sat on the mat and then it ate a fish, which was good for it. password = 'hV8#kq2!Zr9pLm' "
