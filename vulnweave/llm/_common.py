@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -70,10 +71,27 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, most: int = SLICE_BYTE
         at += n
 
 
+def give_back() -> None:
+    """Returns free memory of this worker to the system: idle workers are kept by the executor, beside its next tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a partition, after which the worker's free memory goes back."""
+
+    def run(batches):
+        yield from fn(batches)
+        give_back()
+
+    return run
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow for long texts: the function gets them in slices."""
     bound_batches(df.sparkSession)
-    return df.mapInArrow(lambda batches: fn(piece for batch in batches for piece in slices(batch)), schema)
+    return df.mapInArrow(lean(lambda batches: fn(piece for batch in batches for piece in slices(batch))), schema)
 
 
 def key_chunks(batches: Iterable[pa.RecordBatch], key: str, rows: int = 50_000) -> Iterator[pa.Table]:

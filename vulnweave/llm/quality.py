@@ -47,7 +47,7 @@ def _shape(word: str) -> int:
         kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
         short = _RUN.sub(lambda m: m[1] if m[1] in "Aa0" else m[1] * 2, kinds)
         known = zlib.crc32(short.encode("utf-8", "surrogatepass")) % (FEATURES - 256)
-        if len(_SHAPES) > 300_000:
+        if len(_SHAPES) > 50_000:
             _SHAPES.clear()
         if len(word) <= 64:
             _SHAPES[word] = known
