@@ -265,6 +265,68 @@ def test_texts_with_more_candidates_than_a_round_compares(spark, monkeypatch):
     assert sorted(x.doc_id for x in shingles.keep_one(df).collect()) == sorted(set(root))
 
 
+def test_fingerprints_of_the_stage_are_simhash():
+    """Each bit is the majority of that bit over the shingles' spread hashes, and pairs at a similarity of 0.8 meet in some bucket."""
+    r = np.random.default_rng(11)
+
+    def spread(h: int, word: int) -> bytes:
+        z = (h + (word + 1) * 0x9E3779B97F4A7C15) % 2**64
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+        return (z ^ z >> 31).to_bytes(8, "little")
+
+    for n in (0, 1, 2, 7, 300, 9000):
+        hashes = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        rows = [b"".join(spread(int(h), w) for w in range(5)) for h in hashes]
+        bits = [sum(row[b // 8] >> 7 - b % 8 & 1 for row in rows) * 2 > n for b in range(320)]
+        assert shingles.fingerprint(hashes, 40) == bytes(sum(bits[8 * i + k] << 7 - k for k in range(8)) for i in range(40))
+    for texts in (1000, 1 << 24):
+        width, segments = shingles.shape(texts)
+        assert (width, segments) == ((8, 40) if texts == 1000 else (11, 72))
+        share = []
+        for _ in range(400):
+            own = r.integers(0, 1 << 63, 400, dtype=np.uint64)
+            prints = [shingles.fingerprint(own[:360], segments), shingles.fingerprint(own[40:], segments)]  # 320 of 400
+            share.append(sum((a ^ b).bit_count() for a, b in zip(*prints, strict=True)) / (8 * segments))
+            keys, at, _ = shingles._keys(prints, width, segments, 1)
+            assert set(keys[at == 0]) & set(keys[at == 1])
+        assert abs(np.mean(share) - (1 - shingles.AGREE)) < 0.005
+
+
+def test_near_duplicates_come_through_the_simhash(spark, monkeypatch):
+    """With SimHash fingerprints that say nothing no link of long texts is found: no other step proposes pairs."""
+    r = np.random.default_rng(13)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*base[:at], "other", *base[at + 1 :]]) for at in range(10, 190, 20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [x.doc_id for x in shingles.keep_one(df).collect()] == [0]
+    own = shingles._fingerprints
+
+    def noise(docs, width, least, segments):
+        rows = [(x.id, r.bytes(segments)) for x in own(docs, width, least, segments).collect()]
+        return spark.createDataFrame(rows, "id long, print binary")
+
+    monkeypatch.setattr(shingles, "_fingerprints", noise)
+    assert sorted(x.doc_id for x in shingles.keep_one(df).collect()) == list(range(len(texts)))
+
+
+@pytest.mark.parametrize("bucket", [8_192, 1])
+def test_small_texts_and_longer_keys(spark, monkeypatch, bucket):
+    """Sets of four to twenty-five shingles whose similarity is 0.8 or a little more, with keys of one segment and with longer ones."""
+    monkeypatch.setattr(shingles, "BUCKET", bucket)
+    r = np.random.default_rng(bucket)
+    word = lambda: "".join(r.choice(list("abcdefghijkl"), 5))
+    texts = []
+    for n in [8] * 150 + list(range(9, 25)) * 5:
+        now = [word() for _ in range(n)]
+        texts += [" ".join(now), " ".join([*now, *(word() for _ in range((n - 4) // 4))])]
+    assert bucket > 1 or shingles.shape(len(texts))[0] > shingles.BITS
+    root = similar_roots(texts)
+    assert len(set(root)) == len(texts) // 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in shingles.keep_one(df).collect()) == sorted(set(root))
+
+
 def test_bitmaps_rule_out_no_similar_sets():
     r = np.random.default_rng(5)
     for n in (1, 5, 40, 400, 20_000):

@@ -130,6 +130,6 @@ def keep_one(docs: DataFrame, *, width: int = 5, least: float = 0.8) -> DataFram
     """One row of each group of near duplicates, the one with the smallest doc_id, with all its columns.
 
     Near duplicates have a Jaccard similarity of `least` or more of their `width`-word shingles, or link with such a text. That
-    takes more than 3 of 64 differing bits: see `shingles`, which also says what happens to odd rows.
+    takes a SimHash of more than 64 bits: see `shingles`, which also says what happens to odd rows.
     """
     return shingles.keep_one(docs, width=width, least=least)
