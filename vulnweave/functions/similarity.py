@@ -24,6 +24,11 @@ def _words(c: Column, stop_words: list[str] | None) -> Column:
     return F.filter(found, lambda w: ~F.array_contains(stop, w))
 
 
+def similarity_words(c: Column, kind: str) -> Column:
+    """The words that a word measure compares, repeats included."""
+    return _words(c, STOP_WORDS if kind == "cos" else None)
+
+
 def _cosine(a: Column, b: Column, unshared: float) -> Column:
     """Cosine of word counts, where a word of one side alone weighs `unshared` times one of both. Words are bound once for the lambdas."""
     return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: _bound_cosine(s["a"], s["b"], unshared))[0]

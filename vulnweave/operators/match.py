@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import SIMILARITIES, weighted_similarity
-from .relational import interleave, pad, top_k, triple
+from ..functions.similarity import SIMILARITIES, similarity_words, weighted_similarity
+from .nearest import WORDS, nearest
+from .relational import cut, interleave, pad, top_k, triple
 
 
 def _length_band(length: Column, least: float, kind: str) -> tuple[Column, Column]:
@@ -76,10 +77,14 @@ def fuzzy_pairs(names: DataFrame, white_list: DataFrame, kind: str, least: float
 def white_list_match(candidates: DataFrame, white_list: DataFrame, kind: str, least: float) -> DataFrame:
     """(id, place, name) x (pos, entry) -> id, triple: the best entries of the first two candidates, interleaved.
 
-    Each candidate keeps its three best entries, ties in the white list's order.
+    Each candidate keeps its three best entries, ties in the white list's order. Candidates are made once, as their names go to all tasks.
     """
+    if least <= 0:
+        raise ValueError("a fuzzy join needs a threshold above 0")
+    candidates = cut(candidates)
     asked = candidates.where((F.col("place") <= 2) & F.col("name").isNotNull())
-    best = top_k(fuzzy_pairs(asked, white_list, kind, least), ["name"], [F.desc("sim"), F.col("pos")], 3)
+    value = lambda c: similarity_words(F.col(c), kind) if kind in WORDS else F.col(c)
+    best = nearest(asked.select("name", value("name").alias("value")).dropDuplicates(["name"]), white_list.select(F.col("pos").alias("place"), "entry", value("entry").alias("value")), kind, least, 3)
     lists = best.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entry"))), lambda x: x["entry"]).alias("entries"))
     found = asked.join(lists, "name", "left").groupBy("id").agg(*(F.max(F.when(F.col("place") == i, F.col("entries"))).alias(f"e{i}") for i in (1, 2)))
     none = F.array().cast("array<string>")
@@ -98,28 +103,31 @@ def label_match(labels: DataFrame, libraries: DataFrame, least: float) -> DataFr
     If an artifact of that name exists, its groups are ranked by weighted edit similarity; else the three closest artifacts
     are, then their groups; an artifact without a close group gives its first coordinate. Null or empty labels: no match.
     """
+    labels = cut(labels)
     names = libraries.select("name").where(F.col("name").isNotNull()).distinct()
     coords = names.select(_tail(F.col("name"), 2).alias("coord")).distinct()
     coords = coords.select("coord", F.element_at(F.split("coord", ":"), -1).alias("artifact"), F.get(F.split("coord", ":"), F.size(F.split("coord", ":")) - 2).alias("group"))
     asked = labels.where(F.coalesce(F.col("label"), F.lit("")) != "").select("id", "label", F.element_at(F.split("label", ":"), -1).alias("want"), F.coalesce(F.get(F.split("label", ":"), F.size(F.split("label", ":")) - 2), F.lit("")).alias("want_group"))
-    exact = asked.join(names, F.col("label") == F.col("name"), "left_semi").select("id", F.lit(0).alias("a_rank"), F.lit(1).alias("rank"), F.col("label").alias("coord"))
-    open_ = asked.join(names, F.col("label") == F.col("name"), "left_anti")
-    artifacts = coords.select("artifact").distinct()
+    held = cut(asked.join(names, F.col("label") == F.col("name"), "left").select("id", "label", "want", "want_group", F.col("name").isNotNull().alias("held")))
+    exact = held.where("held").select("id", F.lit(0).alias("a_rank"), F.lit(1).alias("rank"), F.col("label").alias("coord"))
+    open_ = held.where("NOT held").drop("held")
+    if open_.isEmpty():
+        return _listed(labels, exact)
+    artifacts = cut(coords.select("artifact").distinct())
     same = open_.join(artifacts, F.col("want") == F.col("artifact")).withColumn("a_rank", F.lit(1))
-    # weighted distance >= |length difference| (insert) or twice it (delete): so a length band holds here, too. A lost
-    # character costs 2, so of one more character than (1 - least) n one stays
-    length = F.length("want")
-    low, high = F.ceil(length - (1 - least) * length - 1e-9).cast("int"), F.floor(length + 2 * (1 - least) * length + 1e-9).cast("int")
-    others = open_.join(artifacts, F.col("want") == F.col("artifact"), "left_anti").select("id", "label", "want", "want_group", F.explode(_rarest(F.col("want"), F.floor(length * (1 - least) + 1e-9).cast("int") + 1)).alias("gram"), F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, low, F.lit(0))).alias("band"))
-    others = others.withColumn("n", F.explode("band")).drop("band")
-    held = artifacts.select("artifact", F.length("artifact").alias("n"), F.explode(_keys_held(F.col("artifact"), (1,))).alias("gram"))
-    near = others.join(held, ["gram", "n"]).drop("gram").distinct().withColumn("sim", F.round(weighted_similarity(F.col("want"), F.col("artifact")), 9)).where(F.col("sim") >= least)
-    near = top_k(near, ["id"], [F.desc("sim"), F.desc("artifact")], 3, "a_rank")
+    others = open_.join(artifacts, F.col("want") == F.col("artifact"), "left_anti")
+    close_to = nearest(others.select(F.col("want").alias("name"), F.col("want").alias("value")).distinct(), artifacts.select(F.col("artifact").alias("place"), F.col("artifact").alias("entry"), F.col("artifact").alias("value")), "weighted", least, 3, last_place=True)
+    near = others.join(close_to.select(F.col("name").alias("want"), F.col("rank").alias("a_rank"), F.col("entry").alias("artifact")), "want")
     chosen = same.select("id", "want_group", "artifact", "a_rank").unionByName(near.select("id", "want_group", "artifact", "a_rank"))
     met = chosen.join(coords, "artifact").withColumn("sim", F.round(weighted_similarity(F.col("want_group"), F.col("group")), 9))
     close = top_k(met.where(F.col("sim") >= least), ["id", "a_rank"], [F.desc("sim"), F.desc("coord")], 3)
     far = met.join(near.select("id", "a_rank"), ["id", "a_rank"], "left_semi").groupBy("id", "a_rank").agg(F.min("coord").alias("coord")).join(close.select("id", "a_rank").distinct(), ["id", "a_rank"], "left_anti").withColumn("rank", F.lit(1))
     found = exact.unionByName(close.select("id", "a_rank", "rank", "coord")).unionByName(far.select("id", "a_rank", "rank", "coord"))
+    return _listed(labels, found)
+
+
+def _listed(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, a_rank, rank, coord) -> id, triple for each label."""
     listed = found.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("a_rank", "rank", "coord"))), lambda x: x["coord"]).alias("coords"))
     return labels.select("id").join(listed, "id", "left").select("id", triple(F.array_distinct(F.coalesce("coords", F.array().cast("array<string>")))).alias("triple"))
 
