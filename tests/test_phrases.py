@@ -6,8 +6,9 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from vulnweave.operators import phrases
+from vulnweave.operators import phrases, rules
 from vulnweave.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -42,7 +43,16 @@ def test_strings_equal_a_search_of_each():
     assert phrases.Strings(strings).held(pa.array(texts, pa.string())) == expected
 
 
-@pytest.mark.parametrize("name", ["recall_at_k"])
+def test_rules_from_held_words_equal_rules_on_texts(spark):
+    """All pairs by the features on texts; the same id for two texts, and a null one."""
+    vulns = spark.createDataFrame([("a", "T", "openssl 1.1 with TLS handshake, ssl"), ("a", None, "log4j logging appender 2.14"), (None, "django", "Django web orm 3.0"), ("b", "", None)], "vuln_id string, title string, description string")
+    comps = spark.createDataFrame([(0, "OpenSSL", "1.1"), (1, "log4j", None), (2, "django", "3.0"), (3, "web-orm", ""), (4, "ab", "T")], "comp_id int, name string, version string")
+    every = vulns.crossJoin(comps).withColumn("s", rules.similarity(F.col("name"), F.col("version"), F.col("title"), F.col("description"))).where("s.score > 0.5").selectExpr("vuln_id", "comp_id", "s.score", "s.reasoning")
+    found = rules.match(comps, vulns, all_hits=True).where("match_type = 'similarity_based'").select("vuln_id", "comp_id", "similarity", "reasoning")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, every.collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["rule_match", "recall_at_k"])
 def test_texts_are_not_cut_into_rows(spark, name):
     """No row for each run of characters or words, and no text in a join's result."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

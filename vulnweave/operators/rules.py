@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .match import grams
-from .relational import top_k
+from .phrases import Strings
+from .relational import cut, top_k
 
 #: Other names of a package.
 ALIASES = {
@@ -68,13 +72,16 @@ def suspected(vulnerabilities: DataFrame) -> DataFrame:
 
     Each coordinate or scoped name adds 0.8; a common name as a word counts 0.8 (0.6 without an id); known ids give 1; 1 is the most.
     """
-    text, low = F.coalesce("description", F.lit("")), F.lower(F.coalesce("description", F.lit("")))
+    vulnerabilities = vulnerabilities.select("vuln_id", F.coalesce("description", F.lit("")).alias("text")).withColumn("low", F.lower("text"))
+    text, low = F.col("text"), F.col("low")
+    seldom = lambda kind, mark: F.when(text.contains(mark), mentions(text, kind)).otherwise(_array(()))  # noqa: E731 - most texts lack the mark, so need no pattern
     one = lambda kind, value: lambda n: F.struct(n.alias("raw"), F.lit(kind).alias("kind"), F.lit(value).alias("c") if isinstance(value, float) else value.alias("c"))
     has_id = F.coalesce(F.col("vuln_id"), F.lit("")) != ""
     word = F.when(has_id, F.lit(0.8)).otherwise(F.lit(0.6))
-    spoken = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\b(" + "|".join(COMMON) + r")\b"), F.lit(1)))
+    common = reduce(lambda a, b: a | b, (low.contains(w) for w in COMMON))
+    spoken = F.when(common, F.array_distinct(F.regexp_extract_all(low, F.lit(r"\b(" + "|".join(COMMON) + r")\b"), F.lit(1)))).otherwise(_array(()))
     known = F.coalesce(F.try_element_at(_map(KNOWN), F.coalesce("vuln_id", F.lit(""))), _array(()))
-    found = F.concat(F.transform(mentions(text, "java_coordinate"), one("hit", 0.8)), F.transform(mentions(text, "npm_scoped"), one("hit", 0.8)), F.transform(known, one("known", 1.0)), F.transform(spoken, one("word", word)))
+    found = F.concat(F.transform(seldom("java_coordinate", ":"), one("hit", 0.8)), F.transform(seldom("npm_scoped", "@"), one("hit", 0.8)), F.transform(known, one("known", 1.0)), F.transform(spoken, one("word", word)))
     long = vulnerabilities.select("vuln_id", F.explode(found).alias("f")).select("vuln_id", "f.*")
     named = long.groupBy("vuln_id", "raw").agg(F.sum(F.when(F.col("kind") == "hit", F.col("c"))).alias("hits"), F.max(F.when(F.col("kind") != "hit", F.col("c"))).alias("most"))
     fine = (F.length("raw") > 2) & ~F.lower("raw").isin(NO_PACKAGE)
@@ -88,18 +95,23 @@ def similarity(name: Column, version: Column, title: Column, description: Column
 
 def similarity_of_lower(name: Column, version: Column, text: Column, low: Column) -> Column:
     """The same from lower-case texts: title and description, and the description alone, which are better made once a text than once a pair."""
+    return _weigh(name, version, lambda w: text.contains(w), low.contains(version))
+
+
+def _weigh(name: Column, version: Column, has: Callable[[Column], Column], has_version: Column) -> Column:
+    """The same from tests: whether the text has a word, and the description the version."""
     part = lambda label, score, weight: F.struct(F.lit(label).alias("feature"), score.cast("double").alias("score"), F.lit(weight).alias("weight"))
     parts = F.filter(F.split(name, r"[:\-/_.]"), lambda p: F.length(p) > 2)
-    share = lambda words: F.size(F.filter(words, lambda w: text.contains(w))) / F.size(words)
+    share = lambda words: F.size(F.filter(words, has)) / F.size(words)
     words = F.coalesce(F.try_element_at(_map(DOMAIN_WORDS), name), _array(()))
     aliases = F.coalesce(F.try_element_at(_map(ALIASES), name), _array(()))
     features = F.array_compact(
         F.array(
-            F.when(text.contains(name), part("exact_match", F.lit(1.0), 0.4)),
+            F.when(has(name), part("exact_match", F.lit(1.0), 0.4)),
             F.when(F.size(parts) > 0, part("partial_match", share(parts), 0.3)),
-            F.when((F.coalesce(version, F.lit("")) != "") & low.contains(version), part("version_match", F.lit(0.7), 0.2)),
+            F.when((F.coalesce(version, F.lit("")) != "") & has_version, part("version_match", F.lit(0.7), 0.2)),
             F.when(F.size(words) > 0, part("domain_keywords", share(words), 0.2)),
-            F.when(F.exists(aliases, lambda a: text.contains(a)), part("alias_match", F.lit(0.6), 0.15)),
+            F.when(F.exists(aliases, has), part("alias_match", F.lit(0.6), 0.15)),
         )
     )
     total = lambda f: F.aggregate(features, F.lit(0.0), lambda s, x: s + f(x))
@@ -107,16 +119,21 @@ def similarity_of_lower(name: Column, version: Column, text: Column, low: Column
     return F.struct(score.alias("score"), F.array_join(F.transform(F.filter(features, lambda x: x["score"] > 0), lambda x: x["feature"]), ";").alias("reasoning"))
 
 
-def _held_grams(text: Column) -> Column:
-    """All runs of three, two and one characters of a text."""
-    three = F.array_distinct(grams(F.concat(text, F.lit("  ")), 3))
-    return F.transform(F.array(three), lambda t: F.array_distinct(F.concat(t, F.transform(t, lambda g: F.substring(g, 1, 2)), F.transform(t, lambda g: F.substring(g, 1, 1)))))[0]
+def held_words(texts: DataFrame, words: DataFrame, versions: DataFrame) -> DataFrame:
+    """(vuln_id, body, low) -> vuln_id, words, versions: which of the words a body holds, and which of the versions a description.
+
+    Words and versions are collected and go to each task; a text is read once and is not in what comes out.
+    """
+    asked = [sorted(r[0] for r in df.distinct().collect() if r[0]) for df in (words, versions)]
+    found = [Strings(x) for x in asked]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [pa.array([[own[i] for i in ids] for ids in has.held(batch[c])], pa.list_(pa.string())) for own, has, c in zip(asked, found, ("body", "low"))]
+            yield pa.RecordBatch.from_arrays([batch["vuln_id"], *lists], ["vuln_id", "words", "versions"])
 
-def _anchor(word: Column) -> Column:
-    """The run of three characters of a word, or the word if it is shorter, that has most letters that are rare."""
-    rare = lambda g: F.length(F.translate(g, "etaoinsrhldcu ", ""))
-    return F.when(F.length(word) < 3, word).otherwise(F.array_max(F.transform(grams(word, 3), lambda g: F.struct(rare(g).alias("rare"), g.alias("gram"))))["gram"])
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return texts.select("vuln_id", "body", "low").mapInArrow(run, f"vuln_id {texts.schema['vuln_id'].dataType.simpleString()}, words array<string>, versions array<string>")
 
 
 def match(components: DataFrame, vulnerabilities: DataFrame, *, all_hits: bool = False) -> DataFrame:
@@ -125,13 +142,12 @@ def match(components: DataFrame, vulnerabilities: DataFrame, *, all_hits: bool =
     A component whose name begins with a suspected package, or the other way round, counts 0.95; all others count by their
     features if these reach more than 0.5 (high: more than 0.75). The best row of each pair is kept, or all (all_hits).
 
-    Every rule needs a part of the component's name, a domain word or an alias in the text. So distinct words join texts on a
-    run of three characters that the text has to hold, what is met is tested, and components join texts by such words:
-    equality joins throughout, whatever the sizes. No row is lost.
+    Every rule needs a part of the component's name, a domain word or an alias in the text. So texts are searched once for the
+    distinct words, components join by those that are found, and the rules ask the words found, not the text. No row is lost.
     """
     name = F.lower("name")
     keyed = components.where(F.coalesce(F.col("name"), F.lit("")) != "").select("comp_id", "name", "version")
-    guess = suspected(vulnerabilities)
+    guess = cut(suspected(vulnerabilities))
     prefix = F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substring(F.col("key"), 1, i)))
     short = keyed.select("comp_id", name.alias("key"))
     down = guess.join(short.select("comp_id", prefix.alias("p")), F.col("name") == F.col("p")).select("vuln_id", "comp_id", "name")
@@ -140,11 +156,10 @@ def match(components: DataFrame, vulnerabilities: DataFrame, *, all_hits: bool =
     low = F.lower(F.coalesce("description", F.lit("")))
     texts = vulnerabilities.select("vuln_id", F.concat(F.lower(F.coalesce("title", F.lit(""))), F.lit(" "), low).alias("body"), low.alias("low"))
     words = F.array_distinct(F.concat(F.array(name), F.filter(F.split(name, r"[:\-/_.]"), lambda p: F.length(p) > 2), F.coalesce(F.try_element_at(_map(DOMAIN_WORDS), name), _array(())), F.coalesce(F.try_element_at(_map(ALIASES), name), _array(()))))
-    vocabulary = keyed.select(F.explode(words).alias("word")).distinct().select("word", _anchor(F.col("word")).alias("gram"))
-    likely = texts.select("vuln_id", F.explode(_held_grams(F.col("body"))).alias("gram")).join(vocabulary, "gram").select("vuln_id", "word").distinct()
-    held = likely.join(texts.select("vuln_id", "body"), "vuln_id").where(F.col("body").contains(F.col("word"))).select("vuln_id", "word").distinct()
-    met = held.join(keyed.select("comp_id", F.explode(words).alias("word")), "word").select("vuln_id", "comp_id").distinct().join(keyed, "comp_id").join(texts, "vuln_id")
-    scored = met.withColumn("s", similarity_of_lower(F.lower("name"), F.col("version"), F.col("body"), F.col("low"))).where(F.col("s.score") > 0.5)
+    rules = keyed.withColumn("word", F.explode(words))
+    found = held_words(texts, rules.select("word"), keyed.select("version")).where(F.size("words") > 0).withColumn("row", F.monotonically_increasing_id())
+    met = cut(found).withColumn("word", F.explode("words")).join(rules, "word").dropDuplicates(["row", "comp_id"])
+    scored = met.withColumn("s", _weigh(F.lower("name"), F.col("version"), lambda w: F.array_contains("words", w), F.array_contains("versions", F.col("version")))).where(F.col("s.score") > 0.5)
     alike = scored.select("vuln_id", "comp_id", F.col("s.score").alias("similarity"), F.lit("similarity_based").alias("match_type"), F.when(F.col("s.score") > 0.75, "high").otherwise("medium").alias("confidence"), F.col("s.reasoning").alias("reasoning"))
     both = hits.unionByName(alike)
     return both if all_hits else top_k(both, ["vuln_id", "comp_id"], [F.desc("similarity"), F.col("match_type")], 1).drop("rank")

@@ -164,7 +164,8 @@ def rule_match_rules(spark, sf_dir):
 def rule_match(spark, sf_dir):
     """Parts as components, documents as vulnerabilities; each text ends with the name of a part that it affects."""
     part = table(spark, sf_dir, "part")
-    docs = table(spark, sf_dir, "documents").join(part.select("p_partkey", F.col("p_name").alias("affected")), F.col("p_partkey") == F.col("doc_id") % 200 + 1, "left")
+    affected = F.broadcast(part.where(F.col("p_partkey").between(-198, 200)).select("p_partkey", F.col("p_name").alias("affected")))  # all that the join can ask for
+    docs = table(spark, sf_dir, "documents").join(affected, F.col("p_partkey") == F.col("doc_id") % 200 + 1, "left")
     docs = docs.select(F.concat(F.lit("CVE-2021-"), "doc_id").alias("vuln_id"), F.col("source").alias("title"), F.concat("text", F.lit(" Affects "), "affected", F.lit(".")).alias("description"))
     parts = R.distinct_on(part.select("p_name", "p_partkey", "p_brand"), ["p_name"], [F.col("p_partkey")])
     return rules.match(parts.select(F.col("p_partkey").alias("comp_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("version")), docs)
